@@ -36,14 +36,11 @@ def located(text: Column, matches: Column, pattern: str) -> Column:
 
 def joined(kinds: Sequence[tuple[str, Column]]) -> Column:
     """All spans as one array of (start, rank, end, kind), sorted by start, then kind as listed."""
-    parts = [
-        F.transform(
-            spans,
-            lambda x, k=k, name=name: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(name).alias("kind")),
-        )
-        for k, (name, spans) in enumerate(kinds)
-    ]
-    return F.array_sort(F.concat(*parts))
+
+    def tagged(rank: int, name: str, spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(name).alias("kind")))
+
+    return F.array_sort(F.concat(*(tagged(rank, name, spans) for rank, (name, spans) in enumerate(kinds))))
 
 
 def listed(spans: Column) -> Column:
