@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textspark.llm import exact_dedup, pii, secret_scan
-from textspark.llm.common import table
+from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, warc
+from textspark.llm.common import scratch_path, table
 
 
 def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")).drop("target_uri", "archive", "start", "end")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -22,6 +30,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii_sanitisation": op2_pii_sanitisation,
+    "op6_warc_salvage": op6_warc_salvage,
+    "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
