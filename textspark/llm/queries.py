@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, warc
+from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, toxicity, warc
 from textspark.llm.common import scratch_path, table
 
 
@@ -28,12 +28,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_pii_sanitisation": op2_pii_sanitisation,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
