@@ -1,8 +1,8 @@
 """WARC archives: a writer in DataFrame operations, and a reader that salvages what it can.
 
-Writing: a record is one string, and Spark's text writer with the line separator CR LF CR LF puts the
-records into files, so archives go to any file system that Spark can write, a bounded number of records
-to a file. Equal payloads become one response and revisits that refer to it.
+Writing: a record is a gzip member of its own (or plain), and Spark's text writer puts the records into
+files, with the bytes that end each of them as line separator, so archives go to any file system that
+Spark can write, a bounded number of records to a file. Equal payloads become one response and revisits that refer to it.
 
 Reading: files come as (path, content). The reader walks the gzip members, or the plain bytes, record by
 record. After a failed check (no version line, bad headers, a block that the length does not fit, a
@@ -84,14 +84,29 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return both.select(F.concat(F.encode(head, "utf-8"), block).cast("string").alias("record"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 2000, **settings) -> None:
-    """Writes archives of at most records_per_file records each under path."""
-    (
-        records(pages, **settings)
-        .write.option("lineSep", RECORD_END.decode())
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
-    )
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is 0: the top byte of the length, or that
+    of an empty member put behind a record of 16 MiB or more."""
+    for batch in batches:
+        out = []
+        for record in batch.column(0):
+            data = record.as_buffer().to_pybytes() + RECORD_END
+            parts = [data] if len(data) % (1 << 32) < 1 << 24 else [data, b""]
+            packed = b""
+            for part in parts:
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                packed += pack.compress(part) + pack.flush()
+            out.append(packed[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+
+
+def write(pages: DataFrame, path: str, records_per_file: int = 2000, compress: bool = True, **settings) -> None:
+    """Writes archives of at most records_per_file records each under path, a gzip member to a record, or
+    plain if compress is false. The text writer ends each record with the bytes that were left off."""
+    rows, end = records(pages, **settings), RECORD_END.decode()
+    if compress:
+        rows, end = rows.select(F.col("record").cast("binary")).mapInArrow(_members, "member binary").select(F.col("member").cast("string")), "\0"
+    rows.write.option("lineSep", end).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 @dataclass
