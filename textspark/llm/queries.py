@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, toxicity, warc
+from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from textspark.llm.common import scratch_path, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -33,6 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_sanitisation": op2_pii_sanitisation,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_quality_rules": op7_quality_rules,
