@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textspark.llm import exact_dedup, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from textspark.llm import exact_dedup, ngram_jaccard, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from textspark.llm.common import scratch_path, table
 
 
@@ -16,6 +16,10 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")).drop("target_uri", "archive", "start", "end")
 
@@ -39,6 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_sanitisation": op2_pii_sanitisation,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
