@@ -1,11 +1,23 @@
-"""Corpus preparation in stages, each calling one of the training-data operators."""
+"""Corpus preparation in stages, each calling one of the training-data operators.
+
+Toxic documents go, then exact copies, then all but one document of each near-duplicate group; the rest is
+mixed to target weights (a document that the mix holds twice is two rows) and packed into training
+sequences. Every stage's result is a table in the shared folder, from which the next one starts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textspark.llm import exact_dedup
+from textspark.llm import exact_dedup, mixing, ngram_jaccard, packing, toxicity
 from textspark.llm.common import cut, table
+from textspark.llm.queries import MIX_WEIGHTS, mix_domain
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trained on the labelled rows among docs; rows predicted toxic go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +25,40 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.keep_first_copies(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of five-word Jaccard similarity of 0.75 or more the row with the least doc_id stays."""
+    return ngram_jaccard.keep_one_of_each_group(docs)
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix holds it."""
+    chosen = mixing.mix(docs, mix_domain(), weights=MIX_WEIGHTS).filter("copies > 0")
+    chosen = chosen.select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])  # rows of one id are chosen together
+    taken = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their bins."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", clean_language),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", target_mix),
+    ("best-fit packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: The first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None

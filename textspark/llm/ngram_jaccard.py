@@ -356,3 +356,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(texts, "node").select(
         named_only(F.col("_id")).alias(id_col), "n_shingles", named_only(component).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
     )
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns unchanged, that are the first of their component or link with nothing.
+    Rows with a null id stay."""
+    stay = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, percent)
+    stay = stay.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
+    named = docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

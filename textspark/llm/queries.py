@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textspark.llm import exact_dedup, ngram_jaccard, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
+from textspark.llm import exact_dedup, mixing, ngram_jaccard, packing, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from textspark.llm.common import scratch_path, table
 
 
@@ -16,6 +17,24 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+#: Target weights of the mix; names that are not listed weigh 1.
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def mix_domain() -> Column:
+    """The test corpus has no domain column: its numbered sources fall into four domains."""
+    name = F.coalesce("source", F.lit(""))
+    return F.concat(F.lit("domain"), ((F.length(name) * 7 + F.ascii(F.right(F.concat(F.lit("0"), name), F.lit(1)))) % 4).cast("string"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), weights=MIX_WEIGHTS)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +62,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_sanitisation": op2_pii_sanitisation,
+    "op3_mixing": op3_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_quality_rules": op7_quality_rules,
@@ -52,6 +73,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_mixing": mixing.oracle(MIX_WEIGHTS, "'domain' || (length(coalesce(source, '')) * 7 + ascii(right('0' || coalesce(source, ''), 1))) % 4", 60, 2, 1),
     "op8_exact_dedup": """
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS text_sha256 FROM documents) d

@@ -316,6 +316,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"{schema}, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text scores under the threshold."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place, 2_000_000):
+                scores = model.probability(margins(part.column(place).to_pylist(), model.weights, model.bias))
+                yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **settings) -> DataFrame:
     """Trains, then scores every row: id, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, **settings)
