@@ -70,8 +70,13 @@ def phrase_keywords(docs: DataFrame, k: int = 10, min_terms: int = 1, min_length
 
 
 def windows_of(array: Column, n: int) -> Column:
-    """All windows of n consecutive entries."""
-    return F.when(F.size(array) >= n, F.transform(F.sequence(F.lit(1), F.size(array) - n + 1), lambda i: F.slice(array, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    """All windows of n consecutive entries.
+
+    Shifted slices are zipped: no lambda refers to the array, so that the optimizer may move the expression
+    into a filter without its being evaluated again for every window."""
+    count = F.greatest(F.size(array) - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(array, F.lit(k + 1), count).alias(f"w{k}") for k in range(n)))
+    return F.transform(shifted, lambda x: F.array(*(x[f"w{k}"] for k in range(n))))
 
 
 def token_ngrams(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

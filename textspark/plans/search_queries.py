@@ -60,7 +60,7 @@ def related_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.neighbour_pairs(_table(spark, sf_dir, "embeddings"), 0.5)
+    return vectors.neighbour_pairs(_table(spark, sf_dir, "embeddings"), 0.25)
 
 
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,8 @@ ORACLE_SQL = {
     "document_facets": "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source",
     "tags_parse": "SELECT doc_id, array_to_string(list_sort(list_distinct([source, lang])), ' ') AS tags FROM documents",
     "vector_topk": f"WITH {_TOP} SELECT * FROM top WHERE rank <= 10",
-    "related_vectors": f"WITH {_TOP} SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM top WHERE rank <= 11 AND query_id <> vec_id QUALIFY rank <= 10",
-    "cosine_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE score >= 0.5",
+    "related_vectors": f"WITH {_TOP}, r AS (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS k FROM top WHERE rank <= 11 AND query_id <> vec_id) SELECT query_id, vec_id, score, k AS rank FROM r WHERE k <= 10",
+    "cosine_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE score >= 0.25",
     "knn_graph": f"""WITH {_PAIRS}, b AS (SELECT a, b, score FROM pairs UNION ALL SELECT b, a, score FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM b)
         SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM r WHERE k <= 4 AND score >= 0.25 GROUP BY 1, 2""",
     "label_medoids": f"""WITH {_PAIRS}, i AS (SELECT a, b, score, x.label FROM pairs JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE x.label = y.label),
