@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="textspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+from textspark.sources.scratch import cut, scratch_path
 
+__all__ = ["WORD", "cut", "scratch_path", "table", "text_or_empty"]
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/textspark-{label}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_or_empty(text: str) -> Column:
