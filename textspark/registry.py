@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from textspark.plans import conversation_queries, lexical_queries, linguistic_queries, search_queries
+
+_MODULES = (lexical_queries, search_queries, conversation_queries, linguistic_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
