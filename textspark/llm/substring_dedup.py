@@ -165,7 +165,7 @@ def repeated_paths(reps: DataFrame, k: int, buckets: int) -> DataFrame:
     def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = W.HashCache()
         for batch in batches:
-            for part in W.slices(batch, 0, 8_000_000):
+            for part in W.slices(batch, 0, 4_000_000):
                 keys = [part.column(c).to_numpy().view(np.uint64) for c in (1, 2)]
                 rows = list(graph_batch(part.column(0).to_pylist(), *keys, k, buckets, hashes))
                 if rows:
