@@ -132,14 +132,15 @@ class Model:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Primal Newton for a squared-hinge SVM; the last weight is the bias. y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     active = np.ones(len(x), bool)
     for _ in range(rounds):
-        xa = x[active] * cost[active, None]
-        w = np.linalg.solve(ridge + xa.T @ x[active], xa.T @ y[active])
+        xa = x[active]
+        weighted = xa * cost[active, None].astype(x.dtype)
+        w = np.linalg.solve(ridge + (weighted.T @ xa).astype(np.float64), weighted.T.astype(np.float64) @ y[active])
         now = y * (x @ w) < 1
         if (now == active).all():
             break
@@ -200,7 +201,7 @@ def train(
     max_rows: int = 12_000,
     witnesses: int = 1_500,
     others: int = 12_000,
-    landmarks: int = 384,
+    landmarks: int = 256,
     cost: float = 40.0,
 ) -> Model:
     """Fits on the max_rows labelled rows outside the held-out fold whose ids hash lowest.
@@ -264,13 +265,13 @@ def train(
     project = phi.T @ root.astype(np.float32)  # weights per triple = project @ w
 
     def mapped(words: list[str]) -> np.ndarray:
-        return np.vstack([features(words[k : k + 256]) @ project for k in range(0, len(words), 256)])
+        return np.vstack([features(words[k : k + 128]) @ project for k in range(0, len(words), 128)])
 
     def fitted(good_x: np.ndarray, bad_x: np.ndarray) -> tuple[np.ndarray, float]:
         x = np.vstack([good_x, bad_x])
         y = np.concatenate([np.ones(len(good_x)), -np.ones(len(bad_x))])
         each = np.concatenate([np.full(len(good_x), cost), np.full(len(bad_x), cost)])
-        w = fit_svm(x.astype(np.float64), y, each)
+        w = fit_svm(x, y, each)
         return (project @ w[:-1]).astype(np.float32), float(w[-1])
 
     good_x, bad_x = mapped(good), mapped(bad)
@@ -309,7 +310,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(kept), 2_000_000):
+            for part in slices(batch, len(kept), 1_000_000):
                 found = model.probability(margins(part.column(len(kept)).to_pylist(), model.weights, model.bias))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), pa.array(found)], [*kept, "score"])
 
@@ -322,7 +323,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, place, 2_000_000):
+            for part in slices(batch, place, 1_000_000):
                 scores = model.probability(margins(part.column(place).to_pylist(), model.weights, model.bias))
                 yield part.filter(pa.array(scores < threshold))
 
