@@ -72,7 +72,45 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_LIST = f"w AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS t FROM documents)"
+
+
+def _ngram_places(n: int) -> str:
+    """Words inside n-grams that a text holds twice or more: (r, place)."""
+    return f"""(WITH g AS (SELECT r, i, array_to_string(t[i:i + {n - 1}], ' ') AS g FROM (SELECT r, t, unnest(range(1, len(t) - {n - 2})) AS i FROM w)),
+        s AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1) SELECT DISTINCT r, i + unnest(range(0, {n})) AS p FROM s)"""
+
+
+def _quality_sql() -> str:
+    shares = {n: round(100 * share) for n, share in quality_rules.COVERAGE.items()}
+    covered = ", ".join(f"c{n} AS (SELECT r, count(*) AS n_words, sum(length(t[p])) AS chars FROM {_ngram_places(n)} JOIN w USING (r) GROUP BY r)" for n in shares)
+    joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in shares)
+    columns = ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_{n}gram_chars" for n in shares)
+    passed = " AND ".join(f"100 * dup_{n}gram_chars <= {share} * word_chars" for n, share in shares.items())
+    return f"""WITH {_LIST}, l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM w) WHERE regexp_matches(line, {_WORD})),
+        d AS (SELECT r, count(*) AS n, sum(length(array_to_string(regexp_extract_all(line, {_WORD}), ''))) AS chars FROM l WHERE again > 1 GROUP BY r), {covered},
+        m AS (SELECT doc_id, len(t) AS n_words, length(array_to_string(t, '')) AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
+          coalesce(c5.n_words, 0) AS n_repeat_words, coalesce(d.chars, 0)::BIGINT AS dup_line_chars, {columns} FROM w LEFT JOIN d USING (r) {joins})
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * dup_line_chars <= 20 * word_chars AND {passed} AS kept FROM m"""
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha, {5 * g + 1}, 5))::BIGINT >> {s} & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+
 ORACLE_SQL = {
+    "op1_substring_dedup": f"""
+        WITH {_LIST}, g AS (SELECT r, i, md5(array_to_string(t[i:i + 34], ' ')) AS g FROM (SELECT r, t, unnest(range(1, len(t) - 33)) AS i FROM w)),
+        s AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1), c AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS p FROM s),
+        x AS (SELECT r, unnest(t) AS word, generate_subscripts(t, 1) AS p FROM w),
+        k AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x ANTI JOIN c ON x.r = c.r AND x.p = c.p GROUP BY x.r),
+        e AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM c), n AS (SELECT r, count(*) AS n, count(*) FILTER (before IS NULL OR before < p - 1) AS spans FROM e GROUP BY r)
+        SELECT doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(spans, 0) AS n_spans FROM w LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+    """,
+    "op6_warc_salvage": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
+        SELECT page_id, strlen(p.h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m OR m IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g ON p.h = g.h
+    """,
+    "op7_quality_rules": _quality_sql(),
     "op3_mixing": mixing.oracle(MIX_WEIGHTS, "'domain' || (length(coalesce(source, '')) * 7 + ascii(right('0' || coalesce(source, ''), 1))) % 4", 60, 2, 1),
     "op8_exact_dedup": """
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256
