@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textspark.functions import segmentation as S
+from textspark.functions import temporal
 from textspark.functions import text as T
-from textspark.operators import fuzzy, lexical, similarity
+from textspark.operators import fuzzy, lexical, similarity, summaries
 from textspark.plans.lexical_queries import _table
 
 
@@ -33,7 +34,16 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.md5("paragraph").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (sentence_counts, simhashes, fuzzy_expansions, paragraph_chunks)}
+def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.summarize(_table(spark, sf_dir, "documents"))
+
+
+def temporal_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.explode(temporal.dates_udf("text")).alias("d")).select("doc_id", "d.*")
+
+
+QUERIES = {f.__name__: f for f in (sentence_counts, simhashes, fuzzy_expansions, paragraph_chunks, extractive_summaries, temporal_expressions)}
 
 #: DuckDB measures edit distance in bytes and has no Unicode sentence rules; the tests hold these queries
 #: against brute force instead.
