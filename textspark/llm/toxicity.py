@@ -107,18 +107,28 @@ def margins(texts: list[str | None], weights: np.ndarray, bias: float) -> np.nda
     return out
 
 
-def features(words: list[str]) -> np.ndarray:
-    """phi(word) / n(word) as dense rows."""
-    out = np.zeros((len(words), TRIPLES), np.float32)
+def features(words: list[str], triples: np.ndarray | None = None) -> np.ndarray:
+    """phi(word) / n(word) as dense rows over the given sorted triples (all if none are)."""
+    place = np.arange(TRIPLES) if triples is None else np.full(TRIPLES, -1)
+    if triples is not None:
+        place[triples] = np.arange(len(triples))
+    out = np.zeros((len(words), TRIPLES if triples is None else len(triples)), np.float32)
     c, begins = codes(words)
     norm = np.zeros(len(words))
     for at, index, weight in occurrences(c):
         owner = np.searchsorted(begins, at, "right") - 1
-        np.add.at(out, (owner, index), np.float32(weight))
         norm += np.bincount(owner, minlength=len(words)) * weight * weight
+        known = place[index] >= 0
+        np.add.at(out, (owner[known], place[index[known]]), np.float32(weight))
     return out / np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
 
 
+def triples_of(words: list[str]) -> np.ndarray:
+    """The sorted triples that any of the words has."""
+    c, _ = codes(words)
+    return np.unique(np.concatenate([index for _, index, _ in occurrences(c)]))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -130,24 +140,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 15) -> np.ndarray:
     """Primal Newton for a squared-hinge SVM; the last weight is the bias. y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-3
+    ridge = np.eye(x.shape[1]) / cost
+    ridge[-1, -1] = 1e-3 / cost
     active = np.ones(len(x), bool)
     for _ in range(rounds):
         xa = x[active]
-        weighted = xa * cost[active, None].astype(x.dtype)
-        w = np.linalg.solve(ridge + (weighted.T @ xa).astype(np.float64), weighted.T.astype(np.float64) @ y[active])
-        now = y * (x @ w) < 1
+        w = np.linalg.solve(ridge + (xa.T @ xa).astype(np.float64), (xa.T @ y[active].astype(x.dtype)).astype(np.float64))
+        now = y * (x @ w.astype(x.dtype)) < 1
         if (now == active).all():
             break
         active = now
     return w
 
 
+def fit_words(good: list[str], bad: list[str], landmarks: int, cost: float) -> tuple[np.ndarray, float]:
+    """Weights by triple and the bias of the SVM on Nystroem features of words. Landmarks are the first of the
+    good words, at most half, and the first of the bad ones."""
+    chosen = good[: landmarks // 2] + bad[: landmarks - len(good[: landmarks // 2])]
+    triples = triples_of(chosen)  # the kernel with a landmark sees no others
+    phi = features(chosen, triples)
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    keep = values > 1e-6 * values.max()
+    project = phi.T @ (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    words = good + bad
+    x = np.vstack([features(words[k : k + 256], triples) @ project for k in range(0, len(words), 256)])
+    w = fit_svm(x, np.concatenate([np.ones(len(good)), -np.ones(len(bad))]), cost)
+    weights = np.zeros(TRIPLES, np.float32)
+    weights[triples] = project @ w[:-1].astype(np.float32)
+    return weights, float(w[-1])
+
+
+def _fitted(examples: DataFrame, landmarks: int, cost: float) -> tuple[np.ndarray, float]:
+    """fit_words in one task on examples (word, y, rank), a bounded table; the driver gets the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: (r[2], r[0]))
+        good, bad = [r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] != 1]
+        weights, bias = fit_words(good, bad, landmarks, cost)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    row = examples.select("word", "y", "rank").coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return np.frombuffer(bytes(row.weights), np.float32), row.bias
+
+
 def fit_logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Platt's smoothed logistic fit; the slope is kept positive."""
     pos, neg = label.sum(), len(label) - label.sum()
@@ -201,7 +241,7 @@ def train(
     max_rows: int = 12_000,
     witnesses: int = 1_500,
     others: int = 12_000,
-    landmarks: int = 256,
+    landmarks: int = 384,
     cost: float = 40.0,
 ) -> Model:
     """Fits on the max_rows labelled rows outside the held-out fold whose ids hash lowest.
@@ -247,38 +287,21 @@ def train(
         marked.filter("toxic > clean")
         .join(F.broadcast(telling), "run")  # at most `witnesses` rows
         .groupBy("word")
-        .agg(F.max("ratio").alias("ratio"), F.max("toxic").alias("seen"))
-        .orderBy(F.desc(F.col("ratio") * F.col("seen")), "word")
+        .agg((-F.max("ratio") * F.max("toxic")).alias("rank"))
+        .orderBy("rank", "word")
         .limit(witnesses)
-        .collect()
+        .select("word", F.lit(1).alias("y"), "rank")
     )
-    clean = known.filter((F.col("clean") >= 1) & (F.col("ratio") < 6)).select("word", F.col("clean"))
-    plain = clean.orderBy(F.xxhash64("word"), "word").limit(others).collect()
-    if not found or not plain:
+    clean = known.filter((F.col("clean") >= 1) & (F.col("ratio") < 6)).select("word")
+    place = (F.xxhash64("word") / float(1 << 63)).alias("rank")
+    plain = clean.select("word", F.lit(-1).alias("y"), place).orderBy("rank", "word").limit(others)
+    examples = cut(found.unionByName(plain), "toxicity-examples")
+    if examples.select("y").distinct().count() < 2:
         return Model(np.zeros(TRIPLES, np.float32), 0.0, 1e-3, float(np.log(rate / (1 - rate))))
-    good, bad = [r.word for r in found], [r.word for r in plain]
-    chosen = good[: landmarks // 2] + bad[: landmarks - len(good[: landmarks // 2])]
-    phi = features(chosen)
-    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    project = phi.T @ root.astype(np.float32)  # weights per triple = project @ w
-
-    def mapped(words: list[str]) -> np.ndarray:
-        return np.vstack([features(words[k : k + 128]) @ project for k in range(0, len(words), 128)])
-
-    def fitted(good_x: np.ndarray, bad_x: np.ndarray) -> tuple[np.ndarray, float]:
-        x = np.vstack([good_x, bad_x])
-        y = np.concatenate([np.ones(len(good_x)), -np.ones(len(bad_x))])
-        each = np.concatenate([np.full(len(good_x), cost), np.full(len(bad_x), cost)])
-        w = fit_svm(x, y, each)
-        return (project @ w[:-1]).astype(np.float32), float(w[-1])
-
-    good_x, bad_x = mapped(good), mapped(bad)
-    weights, bias = fitted(good_x, bad_x)
-    hardest = _scored(clean.select("word"), "word", Model(weights, bias, 1.0, 0.0)).filter("clean_margin > -1").orderBy(F.desc("clean_margin"), "word").limit(others // 4).collect()
-    if hardest:
-        weights, bias = fitted(good_x, np.vstack([bad_x, mapped([r.word for r in hardest])]))
+    weights, bias = _fitted(examples, landmarks, cost)
+    scored = _scored(clean, "word", Model(weights, bias, 1.0, 0.0)).filter("clean_margin > -1")
+    hardest = scored.orderBy(F.desc("clean_margin"), "word").limit(others // 4).select("word", F.lit(-1).alias("y"), F.lit(2.0).alias("rank"))
+    weights, bias = _fitted(examples.unionByName(cut(hardest, "toxicity-hardest")), landmarks, cost)
     rows = _scored(sample, "_text", Model(weights, bias, 1.0, 0.0)).select("clean_margin", "toxic").collect()  # at most max_rows
     slope, offset = fit_logistic(np.array([r.clean_margin for r in rows]), np.array([r.toxic for r in rows]))
     return Model(weights, bias, slope, offset)
