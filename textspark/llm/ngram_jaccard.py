@@ -103,7 +103,7 @@ def text_sets(reps: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, number = _ByteHashes(), 0
         for batch in batches:
-            for part in W.slices(batch, 1, 8_000_000):
+            for part in W.slices(batch, 1, 4_000_000):
                 for start in range(0, part.num_rows, 60_000):  # local numbers have 16 bits
                     number += 1
                     yield sent(part.slice(start, 60_000), number, hashes)
