@@ -256,6 +256,13 @@ def test_quality(docs, nothing):
     assert quality_rules.quality(nothing).count() == 0
 
 
+def test_coverage_rejects_what_the_base_keeps(spark):
+    """Twice 12 of 150 words: 16% of words and characters lie in repeated 10-grams."""
+    texts = [(1, run(12, 100) + " " + run(126, 300) + " " + run(12, 100)), (2, run(150, 100))]
+    rows = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert rows[1].n_repeat_words == 24 and not rows[1].base_failed and not rows[1].kept and rows[2].kept
+
+
 def test_exact_dedup(docs, nothing):
     groups = defaultdict(list)
     for i, t in TEXTS:
