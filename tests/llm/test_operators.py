@@ -132,6 +132,19 @@ def test_random_strings_are_found(spark):
     assert sum(rows[k] for k in range(20)) >= 18 and not any(rows[k] for k in range(20, 23))
 
 
+def test_random_strings_after_an_equals_sign_are_found(spark):
+    rng = np.random.default_rng(2)
+    keys = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 48)) for _ in range(12)]
+    frames = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "https://h/x?sig={}&e=1", "a_name_of_more_than_twenty_letters={}", "{}=value", "see {}== here"]
+    texts = [(k, frame.format(key)) for k, (frame, key) in enumerate((f, key) for f in frames for key in keys)]
+    rows = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for f in range(len(frames)):
+        assert sum(rows[k].n_random for k in range(12 * f, 12 * f + 12)) >= 10, frames[f]
+    for k, text in texts:
+        for s in rows[k].all_spans:
+            assert text[s.start : s.end].rstrip("=") == keys[k % 12]
+
+
 def test_mixing(docs, nothing, spark):
     from pyspark.sql import functions as F
 

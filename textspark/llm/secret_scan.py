@@ -1,7 +1,7 @@
 """Secret scan: three patterned kinds, and strings that a randomness test battery finds.
 
-A candidate is a maximal run of 20 or more code points of ``[A-Za-z0-9+/_-]`` (and closing ``=``). From
-its characters an encoding of k symbols is inferred, and over the symbols' indices three tests run:
+A candidate is a maximal run of 20 or more code points of ``[A-Za-z0-9+/_-]``, and one or two ``=`` after
+it if those end it; an ``=`` before a run or inside ``name=value`` only parts runs. From its characters an encoding of k symbols is inferred, and over the symbols' indices three tests run:
 
 * chi-squared uniformity of the alphabet, X = k/L * sum(n_i^2) - L on k - 1 degrees of freedom;
 * the runs test on indices below and above the middle of the alphabet;
@@ -31,7 +31,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
 }
 KINDS = tuple(PATTERNS)
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings, tried in this order: pattern, alphabet, and how far written language is from uniform in
 #: it, sum(p_i^2 / u) - 1 with sum(p_i^2) = 0.0655 for the letters of European languages and 0.1 for digits.
