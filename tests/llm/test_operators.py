@@ -116,6 +116,21 @@ def test_disclosing_terms(spark):
     assert clean[5] == plain[5][1] and "[PHONE]" in clean[1000] and "zubarek" not in clean[1000] and "ordinary words" in clean[1000]
 
 
+def test_terms_at_the_edges_of_text_and_neighbourhood(spark):
+    far = " - " * 22 + "  "  # 68 code points: with the name, a whole neighbourhood
+    texts = ["Quillfeather: a@b.com", "+1 456 555 2186 Quillfeather", f"x Quillfeather{far}a@b.com", f"a@b.com{far}Quillfeather x", f"x Quillfeather {far}a@b.com {far}Quillfeather x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.pairs for r in pii.base_spans(docs).selectExpr("_id AS doc_id", "pairs").collect()}
+    for k, text in enumerate(texts[:4]):
+        at = text.index("Quillfeather")
+        assert [(p.term, p.start, p.end) for p in rows[k]] == [("quillfeather", at, at + 12)], text
+    assert rows[4] == []
+    plain = [(100 + i, f"nothing to see here {i}") for i in range(200)]
+    signed = [(i, f"Quillfeather: a@b.com {i}" if i % 2 else f"{i} a@b.com Quillfeather") for i in range(4)]
+    found = {r.doc_id: r.n_term for r in pii.find_personal_data(spark.createDataFrame(plain + signed, "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(4)] == [1, 1, 1, 1]
+
+
 def test_secrets(docs, nothing):
     found = rows_of(secret_scan.digest(secret_scan.find_secrets(docs)), "doc_id", "base_sha256")
     assert found == Counter((i, digest_of(secrets(t or ""))) for i, t in TEXTS)

@@ -73,9 +73,15 @@ def _entity(kind: str, match: Column) -> Column:
 
 
 def _beside(text: Column, entity: Column, span: Column, context: int) -> Column:
-    """The terms wholly inside the neighbourhood of span, with their places in the text."""
+    """The terms wholly inside the neighbourhood of span, with their places in the text.
+
+    Each side is read with one more code point at its outer edge, a blank where the text ends, so that
+    the look-around tells a whole word there from one that the edge cuts."""
     start, end = span["start"], span["end"]
     at = F.greatest(start - context, F.lit(0))
+    left = F.when(at > 0, F.substring(text, at.cast("int"), (start - at + 1).cast("int"))).otherwise(F.concat(F.lit(" "), F.substring(text, F.lit(1), start.cast("int"))))
+    right = F.substring(text, end.cast("int") + 1, F.lit(context + 1))
+    right = F.when(F.char_length(right) > context, right).otherwise(F.concat(right, F.lit(" ")))
 
     def terms(origin: Column, side: Column, pattern: str) -> Column:
         found = located(side, F.regexp_extract_all(side, F.lit(pattern), F.lit(0)), pattern)
@@ -87,8 +93,8 @@ def _beside(text: Column, entity: Column, span: Column, context: int) -> Column:
         )
 
     return F.concat(
-        terms(at, F.substring(text, at.cast("int") + 1, (start - at).cast("int")), rf"(?<=\P{{L}}){TERM}"),
-        terms(end, F.substring(text, end.cast("int") + 1, F.lit(context)), rf"{TERM}(?=\P{{L}})"),
+        terms(at - 1, left, rf"(?<=\P{{L}}){TERM}"),
+        terms(end, right, rf"{TERM}(?=\P{{L}})"),
     )
 
 
