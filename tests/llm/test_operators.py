@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textspark.llm import exact_dedup, mixing, ngram_jaccard, packing, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from textspark.llm.common import scratch_path
@@ -131,6 +132,23 @@ def test_terms_at_the_edges_of_text_and_neighbourhood(spark):
     assert [found[i] for i in range(4)] == [1, 1, 1, 1]
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    plain = [(i, f"nothing to see here number {i} with ordinary words") for i in range(200)]
+    telling = [(1000 + i, f"please {i} call zubarek at +1 456 555 2186 " + "with ordinary words " * 10 + "says ZUBAREK, zubareks and Zubarek") for i in range(4)]
+    apart = [(2000, "Zubarek was nothing to see"), (2000, "Zubarek was nothing to see"), (None, "with ordinary words of zubarek"), (2001, "zubarekov is not zubareké"), (2002, "Zubarek zubaréka@b.com")]
+    rows = spark.createDataFrame(plain + telling + apart, "doc_id bigint, text string")
+    found = pii.find_personal_data(rows, threshold=0.7).join(rows.selectExpr("doc_id AS d", "text", "xxhash64(text) AS k").distinct(), F.expr("doc_id <=> d AND text_key = k"))
+    want = lambda i, x: Counter(m.span() for m in re.finditer(r"(?<![^\W\d_])zubarek(?![^\W\d_])", x, re.I))
+    rows_found = found.collect()
+    assert len(rows_found) == len(plain + telling + apart)
+    for r in rows_found:
+        spans = Counter((s.start, s.end) for s in r.all_spans if s.kind == "term" and r.text[s.start : s.end].lower() == "zubarek")
+        assert spans == want(r.doc_id, r.text) and r.n_term == sum(s.kind == "term" for s in r.all_spans), r.text
+        assert (r.doc_id or 0) >= 1000 or r.doc_id is None or r.n_term == 0
+    clean = pii.sanitise(rows, threshold=0.7).filter("text RLIKE '(?i)(?<!\\\\p{L})zubarek(?!\\\\p{L})' OR text LIKE '%@b.com%'").count()
+    assert clean == 0
+
+
 def test_secrets(docs, nothing):
     found = rows_of(secret_scan.digest(secret_scan.find_secrets(docs)), "doc_id", "base_sha256")
     assert found == Counter((i, digest_of(secrets(t or ""))) for i, t in TEXTS)

@@ -9,12 +9,14 @@ a neighbourhood of e, and takes the disclosure of e by t as
 
 which is 1 where t occurs only beside e and near 0 where both are independent. A term whose disclosure
 reaches ``threshold`` and that at least ``min_support`` documents attest becomes a ``term`` span
-wherever it stands in a neighbourhood of e. Entities of less than ``min_entity_bits`` bits (public
-addresses that many documents carry) are not identifying and disclose nothing.
-
-Scale: one pass finds the entities and their neighbourhoods (no text is written, joined or shuffled),
-one counts terms with map-side partial counts. Keys of the joins are (entity, term) pairs and terms, so
-an entity that many documents hold is dealt over its terms.
+wherever it stands, in every document, beside e or not. Entities of less than ``min_entity_bits`` bits
+(public addresses that many documents carry) are not identifying and disclose nothing.
+
+Scale: one pass finds the entities and their neighbourhoods, one counts terms with map-side partial
+counts, one joins each text's distinct words to the disclosing terms, and the texts that hold any are
+searched for them. Keys of the joins are (entity, term) pairs, terms and documents, so an entity that
+many documents hold is dealt over its terms. Disclosing terms and the texts' finds are written first, so
+that Spark knows their size; where they are small no text is shuffled.
 """
 
 from __future__ import annotations
@@ -152,6 +154,22 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str, threshold:
     )
 
 
+def occurrences(docs: DataFrame, telling: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, start, end) of every place in docs where a term of telling, distinct terms, stands as a whole word."""
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    words = F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))
+    held = (
+        texts.select("_id", "_key", F.explode(words).alias("form"))
+        .join(telling, F.lower("form") == F.col("term"))
+        .groupBy(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"))
+        .agg(F.collect_set("form").alias("_forms"))  # at most one text's words
+    )
+    both = texts.join(cut(held, "pii-held"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey")))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))  # forms are letters
+    found = located(F.col("_text"), F.regexp_extract_all("_text", pattern, F.lit(0)), pattern)
+    return both.select("_id", "_key", F.explode(found).alias("x")).select("_id", "_key", "x.start", "x.end")
+
+
 def find_personal_data(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 80, threshold: float = 0.9, min_support: int = 3, min_entity_bits: float = 5.0
 ) -> DataFrame:
@@ -159,19 +177,21 @@ def find_personal_data(
     (arrays of start, rank, end, kind in code points, sorted by start and kind).
 
     Null texts count as empty and have no spans. Rows with equal ids, null ids included, keep their own
-    spans. An empty table gives an empty result. Other columns of the input are not looked at.
+    spans. An empty table gives an empty result. Other columns of the input are not looked at. A letter run
+    that an entity's span begins inside is a term only up to there.
     """
     base = cut(base_spans(docs, id_col, text_col, context), "pii")
-    revealing = disclosing_terms(docs, base, text_col, threshold, min_support, min_entity_bits)
+    telling = cut(disclosing_terms(docs, base, text_col, threshold, min_support, min_entity_bits).select("term").distinct(), "pii-terms")
+    beside = base.select("_id", "_key", F.inline("pairs")).join(telling, "term").select("_id", "_key", "start", "end")
     flagged = (
-        base.select("_id", "_key", F.inline("pairs"))
-        .join(revealing, ["entity", "term"])
+        beside.unionByName(occurrences(docs, telling, id_col, text_col))
         .groupBy(F.col("_id").alias("_fid"), F.col("_key").alias("_fkey"))
-        .agg(F.collect_set(F.struct("start", "end")).alias("_terms"))  # at most the terms beside one text's entities
+        .agg(F.collect_set(F.struct("start", "end")).alias("_terms"))  # at most one text's words
     )
     both = base.join(flagged, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey")), "left")
     terms = F.transform(F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("match"))).cast(SPAN)
-    both = both.withColumn("term", terms)
+    entities = F.concat(*KINDS)
+    both = both.withColumn("term", F.filter(terms, lambda x: ~F.exists(entities, lambda y: (x["start"] < y["start"]) & (y["start"] < x["end"]))))
     kinds = [(k, F.col(k)) for k in KINDS]
     return both.select(
         F.col("_id").alias(id_col),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
 
 
-def located(text: Column, matches: Column, pattern: str) -> Column:
+def located(text: Column, matches: Column, pattern: str | Column) -> Column:
     """Array of (start, end, match) for ``matches``, the array of all matches of pattern in text."""
     pairs = F.arrays_zip(matches.alias("m"), F.split(text, pattern, -1).alias("p"))
     step = lambda acc, x: F.struct(
