@@ -354,6 +354,27 @@ def test_toxicity(spark, docs, nothing):
     assert kept.columns == docs.columns
 
 
+def test_spaced_short_and_other_scripts_insults(spark):
+    rng = np.random.default_rng(4)
+    sets = [["ta", "ro", "mi", "ne", "lu", "ska", "ver"], ["та", "ро", "ми", "не", "лу", "ска", "вер"]]
+    words = lambda k: [["".join(rng.choice(sets[k], rng.integers(1, 4))) for _ in range(30)] for _ in range(300)]
+    rows = []
+    for script, insults in ((0, ["idiot", "zug"]), (1, ["дурак"])):
+        for i, text in enumerate(words(script)):
+            toxic = int(i % 4 == 0)
+            if toxic:
+                for at in rng.integers(1, 29, 3):
+                    text[at] = str(rng.choice(insults))
+            rows.append((len(rows), " ".join(text), toxic))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(frame.drop("toxic"), frame.drop("text"))
+    score = lambda *texts: list(model.probability(toxicity.margins(list(texts), model.weights, model.bias)))
+    assert min(score("you i d i o t", "i\td i o t taro", "taro zug mine", "таро дурак мине", "таро д у р а к мине")) > 0.3 > max(score("taro mine", "таро мине вер", "t a r o", "a b", "i d", ""))
+    assert list(toxicity.margins(["i", "d", "i", "o", "t", "id iot"], model.weights, model.bias))[:5] == [toxicity.FLOOR] * 5
+    separate = toxicity.codes(["我", "你", "，", "“", "\u3000"])[0]
+    assert separate[0] != separate[2] and separate[4] == separate[6] == toxicity.REST and separate[8] == 0
+
+
 def test_kernel_is_the_folded_sum():
     """A word's margin by table look-up equals the sum over landmarks of coefficient times kernel."""
     landmarks, words = ["idiot", "worthless", "tarone"], ["idiot", "idxiot", "worthles", "taro"]

@@ -3,7 +3,9 @@
 The kernel compares words by their gapped three-letter subsequences: phi(s) has an entry for each
 letter triple, the sum over its occurrences of decay**(characters skipped), at most ``GAP`` skipped
 between neighbours, so that a word with letters inserted (or with dots or dashes between them) still
-shares most of an insult's weight. k(s, t) = <phi(s), phi(t)> / (n(s) n(t)), n the norm of a word's
+shares most of an insult's weight. Single letters parted by one white space each are one word, the white
+space a skipped character. Letters count by a code: one for each Latin letter, 36 over which those of
+other scripts are dealt. k(s, t) = <phi(s), phi(t)> / (n(s) n(t)), n the norm of a word's
 occurrence weights.
 
 Training, on a bounded sample of labelled rows: texts become sentences, sentences that occur more than
@@ -35,16 +37,21 @@ from textspark.llm.words import slices
 
 GAP = 2
 DECAY = 0.6
-TRIPLES = 1 << 15
+#: Bits of a letter's code, and the codes of what is no letter and of the first letter outside a to z.
+BITS = 6
+REST, OTHERS = (1 << BITS) - 1, 27
+TRIPLES = 1 << 3 * BITS
+#: Code points from here on (no script's letters among them, but for rare ideographs) are no letters.
+POINTS = 0x34000
 #: Margin of a text without a word to score.
 FLOOR = -2.0
 STEPS = [(a, b) for a in range(1, GAP + 2) for b in range(1, GAP + 2)]
 
 
 def _letter_table() -> np.ndarray:
-    """By code point under 0x2000: 0 white space, 1-26 a Latin letter, 27-30 other letters, 31 the rest."""
-    table = np.full(0x2000, 31, np.uint8)
-    for point in range(0x2000):
+    """By code point under POINTS: 0 white space, 1-26 a Latin letter, OTHERS to REST - 1 other letters, REST the rest."""
+    table = np.full(POINTS, REST, np.uint8)
+    for point in range(POINTS):
         char = chr(point)
         base = char.lower()[:1]
         if char.isspace():
@@ -52,7 +59,7 @@ def _letter_table() -> np.ndarray:
         elif "a" <= base <= "z":
             table[point] = ord(base) - 96
         elif char.isalpha():
-            table[point] = 27 + point % 4
+            table[point] = OTHERS + ord(base) % (REST - OTHERS)
     return table
 
 
@@ -60,17 +67,25 @@ _LETTERS = _letter_table()
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all texts, each followed by a break, and where each text begins."""
+    """Letter codes of all texts, each followed by a break, and where each text begins. White space between two
+    single letters has the code REST, so that it does not part them."""
     joined = "\n".join(x or "" for x in texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    out = np.where(points < 0x2000, _LETTERS[np.minimum(points, 0x1FFF)], np.uint8(28)).astype(np.int32)
+    out = np.where(points < POINTS, _LETTERS[np.minimum(points, POINTS - 1)], np.uint8(REST)).astype(np.int32)
     sizes = np.fromiter((len(x or "") + 1 for x in texts), np.int64, len(texts))
-    return out, np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    ends = np.cumsum(sizes)
+    solid = np.concatenate(([False], out > 0, [False]))
+    single = (out > 0) & (out < REST) & ~solid[:-2] & ~solid[2:]
+    between = np.flatnonzero(single[:-2] & single[2:]) + 1  # the character between is no part of a word
+    breaks = np.zeros(len(out), bool)
+    breaks[ends - 1] = True
+    out[between[~breaks[between]]] = REST
+    return out, np.concatenate(([0], ends[:-1]))
 
 
 def occurrences(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each gap pattern: the places where a triple begins, its index, and its weight."""
-    letter = (c > 0) & (c < 31)
+    letter = (c > 0) & (c < REST)
     solid = c > 0
     for a, b in STEPS:
         n = len(c) - a - b
@@ -80,11 +95,11 @@ def occurrences(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]
         for k in (*range(1, a), *range(a + 1, a + b)):
             ok &= solid[k : k + n]
         at = np.flatnonzero(ok)
-        yield at, (c[at] << 10) | (c[at + a] << 5) | c[at + a + b], DECAY ** (a + b - 2)
+        yield at, (c[at] << 2 * BITS) | (c[at + a] << BITS) | c[at + a + b], DECAY ** (a + b - 2)
 
 
 def word_starts(c: np.ndarray) -> np.ndarray:
-    """Where words (runs without white space) begin."""
+    """Where words (runs without white space, but for that which parts single letters) begin."""
     solid = c > 0
     return np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
 
@@ -273,7 +288,7 @@ def train(
             lambda k: F.when(F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k))).otherwise(F.array().cast("array<string>")),
         )
     )
-    marked = known.filter(F.length("word") >= 4).select("word", "toxic", "clean", F.explode(F.array_distinct(F.array_append(runs, F.concat(F.lit("="), "word")))).alias("run"))
+    marked = known.select("word", "toxic", "clean", F.explode(F.array_distinct(F.array_append(runs, F.concat(F.lit("="), "word")))).alias("run"))
     telling = (
         marked.groupBy("run")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
