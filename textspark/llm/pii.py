@@ -1,22 +1,26 @@
 """Information-theoretic sanitisation of personal data, in built-in functions only.
 
-Four patterned kinds (email, ip, card, phone) are the protected entities. Around each occurrence the
-words within ``context`` code points are its neighbourhood. Over the whole corpus the operator counts
-N documents, c(e) documents with entity e, c(t) documents with term t and c(t, e) documents with t in
-a neighbourhood of e, and takes the disclosure of e by t as
-
-    PMI(t; e) / IC(e) = ln(N c(t,e) / (c(t) c(e))) / ln(N / c(e)),
-
-which is 1 where t occurs only beside e and near 0 where both are independent. A term whose disclosure
-reaches ``threshold`` and that at least ``min_support`` documents attest becomes a ``term`` span
-wherever it stands, in every document, beside e or not. Entities of less than ``min_entity_bits`` bits
-(public addresses that many documents carry) are not identifying and disclose nothing.
-
-Scale: one pass finds the entities and their neighbourhoods, one counts terms with map-side partial
-counts, one joins each text's distinct words to the disclosing terms, and the texts that hold any are
-searched for them. Keys of the joins are (entity, term) pairs, terms and documents, so an entity that
-many documents hold is dealt over its terms. Disclosing terms and the texts' finds are written first, so
-that Spark knows their size; where they are small no text is shuffled.
+Four patterned kinds (email, ip, card, phone) are the protected entities. All counts are of documents:
+N all, c(e) those with entity e, c(t) those with term t, c(t, e) those that hold both, wherever they
+stand. A term is asked about an entity if it stands within ``context`` code points of it in some document.
+How far t gives e away is the share of e's information that t carries,
+
+    disclosure(t; e) = ln(P(e | t) / P(e)) / IC(e),  P(e) = c(e) / N,  IC(e) = -ln P(e),
+
+which is PMI(t; e) over IC(e): 1 where t occurs only with e, near 0 where both are independent. Small counts
+are smoothed instead of dropped: P(e | t) = (c(t, e) + prior P(e)) / (c(t) + prior), as if t had been seen in
+``prior`` more documents of average kind. So one joint occurrence reaches 1 - ln 2 / IC(e), which passes
+a threshold of 0.9 for an entity of one document in 1,024 or less. A term that reaches ``threshold`` becomes
+a ``term`` span wherever it stands, in every document, beside e or not. Entities of less than
+``min_entity_bits`` bits (public addresses that many documents carry) are not identifying and disclose
+nothing.
+
+Scale: one pass finds the entities and their neighbourhoods (pairs are linear in the text), one counts terms
+with map-side partial counts. As c(t, e) is at most the lesser of c(t) and c(e), pairs whose bound stays under
+the threshold go before anything is joined by document, which leaves terms about as rare as their entity.
+Their postings are written once, serve c(t, e), and tell which texts are searched for the spans. Keys of the
+joins are (entity, term) pairs, terms and documents, so an entity that many documents hold is dealt over
+its terms.
 """
 
 from __future__ import annotations
@@ -132,59 +136,73 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str, threshold: float, min_support: int, min_entity_bits: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms whose disclosure reaches the threshold."""
+def _disclosure(joint: Column, prior: float) -> Column:
+    """The disclosure of joint = c(t, e), from columns n, c_t and c_e."""
+    share = F.col("c_e") / F.col("n")
+    return F.log((joint + prior * share) / (F.col("c_t") + prior) / share) / F.log(1 / share)
+
+
+def candidate_terms(docs: DataFrame, base: DataFrame, text_col: str, threshold: float, prior: float, min_entity_bits: float) -> DataFrame:
+    """(entity, term, n, c_e, c_t) of the pairs seen beside each other whose counts can reach the threshold."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    once = F.array_distinct(F.transform("pairs", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    joint = (
-        base.select(F.inline(once)).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= min_support)
-    )
     total = base.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    information = F.log(F.col("n") / F.col("c_e"))
-    return (
-        joint.join(entities, "entity")
-        .join(F.broadcast(total))  # one row
-        .filter(information >= min_entity_bits * 0.6931471805599453)
-        .join(terms, "term")
-        .withColumn("disclosure", F.log(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / information)
-        .filter(F.col("disclosure") >= threshold)
-        .select("entity", "term", "disclosure")
-    )
+    telling = entities.join(F.broadcast(total)).filter(F.log2(F.col("n") / F.col("c_e")) >= min_entity_bits)  # total is one row
+    once = F.array_distinct(F.transform("pairs", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    pairs = base.select(F.inline(once)).distinct().join(telling, "entity").join(terms, "term")
+    return pairs.filter(_disclosure(F.least("c_t", "c_e"), prior) >= threshold - 1e-9).select("entity", "term", "n", "c_e", "c_t")
 
 
-def occurrences(docs: DataFrame, telling: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, start, end) of every place in docs where a term of telling, distinct terms, stands as a whole word."""
+def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, term, forms, rows): the texts that hold each of terms as a whole word, in which spellings, and
+    how many rows bear that id and text."""
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     words = F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))
-    held = (
-        texts.select("_id", "_key", F.explode(words).alias("form"))
-        .join(telling, F.lower("form") == F.col("term"))
-        .groupBy(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"))
-        .agg(F.collect_set("form").alias("_forms"))  # at most one text's words
-    )
-    both = texts.join(cut(held, "pii-held"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey")))
+    held = texts.select("_id", "_key", F.explode(words).alias("form")).withColumn("term", F.lower("form")).join(terms, "term")
+    each = held.groupBy("_id", "_key", "term", "form").agg(F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("_id", "_key", "term").agg(F.collect_set("form").alias("forms"), F.max("rows").alias("rows"))  # spellings of one word
+
+
+def disclosing_terms(base: DataFrame, candidates: DataFrame, held: DataFrame, threshold: float, prior: float) -> DataFrame:
+    """(entity, term, c_te, disclosure) of the candidates that reach the threshold."""
+    entities = base.select("_id", "_key", F.explode("entities").alias("entity")).distinct()
+    entities = entities.select(F.col("_id").alias("_eid"), F.col("_key").alias("_ekey"), "entity")
+    asked = held.join(candidates, "term").select("_id", "_key", "rows", "term", F.col("entity").alias("_asked"), "n", "c_e", "c_t")
+    meets = (F.col("_key") == F.col("_ekey")) & (F.col("_asked") == F.col("entity")) & F.col("_id").eqNullSafe(F.col("_eid"))
+    joint = asked.join(entities, meets).groupBy("entity", "term", "n", "c_e", "c_t").agg(F.sum("rows").alias("c_te"))
+    return joint.withColumn("disclosure", _disclosure(F.col("c_te"), prior)).filter(F.col("disclosure") >= threshold).select("entity", "term", "c_te", "disclosure")
+
+
+def occurrences(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, start, end) of every place in docs where one of the spellings in held, a postings() table, stands."""
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    forms = held.groupBy(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey")).agg(F.flatten(F.collect_set("forms")).alias("_forms"))  # at most one text's words
+    both = texts.join(cut(forms, "pii-forms"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey")))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))  # forms are letters
     found = located(F.col("_text"), F.regexp_extract_all("_text", pattern, F.lit(0)), pattern)
     return both.select("_id", "_key", F.explode(found).alias("x")).select("_id", "_key", "x.start", "x.end")
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 80, threshold: float = 0.9, min_support: int = 3, min_entity_bits: float = 5.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 80, threshold: float = 0.9, prior: float = 1.0, min_entity_bits: float = 5.0
 ) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, n_term, base_spans and all_spans
     (arrays of start, rank, end, kind in code points, sorted by start and kind).
 
     Null texts count as empty and have no spans. Rows with equal ids, null ids included, keep their own
-    spans. An empty table gives an empty result. Other columns of the input are not looked at. A letter run
-    that an entity's span begins inside is a term only up to there.
+    spans; rows that repeat id and text count once each in N and all counts. Ties of spans go by start, then
+    kind. Texts of any length are searched whole. An empty table gives an empty result with the same columns.
+    Other columns of the input, whatever their names, are not looked at. A letter run that an entity's span
+    begins inside is a term only up to there.
     """
     base = cut(base_spans(docs, id_col, text_col, context), "pii")
-    telling = cut(disclosing_terms(docs, base, text_col, threshold, min_support, min_entity_bits).select("term").distinct(), "pii-terms")
+    candidates = cut(candidate_terms(docs, base, text_col, threshold, prior, min_entity_bits), "pii-candidates")
+    held = cut(postings(docs, candidates.select("term").distinct(), id_col, text_col), "pii-held")
+    telling = cut(disclosing_terms(base, candidates, held, threshold, prior).select("term").distinct(), "pii-terms")
     beside = base.select("_id", "_key", F.inline("pairs")).join(telling, "term").select("_id", "_key", "start", "end")
     flagged = (
-        beside.unionByName(occurrences(docs, telling, id_col, text_col))
+        beside.unionByName(occurrences(docs, held.join(telling, "term"), id_col, text_col))
         .groupBy(F.col("_id").alias("_fid"), F.col("_key").alias("_fkey"))
         .agg(F.collect_set(F.struct("start", "end")).alias("_terms"))  # at most one text's words
     )
@@ -226,11 +244,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with personal data and disclosing terms generalised in the text column; other columns unchanged."""
+    """docs with personal data and disclosing terms generalised in the text column; other columns unchanged.
+
+    A text without a find, null included, stays as it is; nulls, ties, repeated rows, long texts and empty tables
+    are as in find_personal_data. Columns may have any names: they travel in one struct."""
     found = find_personal_data(docs, id_col, text_col, **settings).select(
         F.col(id_col).alias("_sid"), F.col("text_key").alias("_skey"), F.col("all_spans").alias("_spans")
     ).filter(F.size("_spans") > 0).dropDuplicates(["_sid", "_skey"])
-    text = text_or_empty(text_col)
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(text) == F.col("_skey")), "left")
-    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(text, F.col("_spans")))
-    return both.withColumn(text_col, clean).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    own = F.col("_row")[text_col]
+    both = rows.join(found, F.col("_row")[id_col].eqNullSafe(F.col("_sid")) & (F.xxhash64(F.coalesce(own, F.lit(""))) == F.col("_skey")), "left")
+    clean = F.when(F.col("_spans").isNull(), own).otherwise(redacted(own, F.col("_spans")))
+    return both.select(*(clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
