@@ -381,3 +381,61 @@ def test_kernel_is_the_folded_sum():
     phi, coefficients = toxicity.features(landmarks), np.array([1.0, -0.5, 0.25])
     direct = toxicity.features(words) @ phi.T @ coefficients
     assert np.allclose(toxicity.margins(words, (phi.T @ coefficients).astype(np.float32), 0.0), np.maximum(direct, toxicity.FLOOR), atol=1e-5)
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    """Terms and their places by counting documents in plain Python; nulls, repeated rows, copies, clashing columns."""
+    rng = np.random.default_rng(11)
+    words = ["ordinary", "words", "stand", "here", "often", "enough", "zubarek", "quill", "Feather", "morrow", "tarn"]
+    mails = ["a@b.com", "c@d.org", "+1 456 555 2186"]
+    texts = [" ".join(rng.choice(words[:6], 12)) for _ in range(300)] + [None, ""]
+    for k in range(12):
+        mail, name = mails[k % 3], words[6 + k % 5]
+        texts.append(f"{rng.choice(words[:6])} {name} {mail} {rng.choice(words[:6])} " + "ordinary " * int(rng.integers(0, 20)) + f"{name.upper()} again")
+    texts += [f"only zubarek {i}" for i in range(3)] + [texts[-1], texts[-1]]
+    rows = [(None if i % 50 == 7 else i, t, "x", "y", i) for i, t in enumerate(texts)] + [(len(texts) - 1, texts[-1], "x", "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _sid string, term string, _key bigint")
+    threshold, prior, bits, context = 0.7, 1.0, 3.0, 80
+    entities, terms, beside = defaultdict(set), defaultdict(set), set()
+    for i, (_, text, *_) in enumerate(rows):
+        for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,}", text or ""):
+            terms[m[0].lower()].add(i)
+        for a, rank, b, kind in personal(text or ""):
+            e = f"{kind}:{text[a:b].lower() if rank < 2 else re.sub('[^0-9]', '', text[a:b])}"
+            entities[e].add(i)
+            for m in re.finditer(r"[^\W\d_]{4,}", text):
+                if a - context <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + context:
+                    beside.add((e, m[0].lower()))
+    told = set()
+    for e, t in beside:
+        share = len(entities[e]) / len(rows)
+        if -np.log2(share) >= bits and np.log((len(entities[e] & terms[t]) + prior * share) / (len(terms[t]) + prior) / share) / -np.log(share) >= threshold:
+            told.add(t)
+    assert "zubarek" not in told or len(told) > 1
+    assert told and "ordinary" not in told
+    want = Counter((i, sum(m[0].lower() in told for m in re.finditer(r"[^\W\d_]{4,}", t or ""))) for i, t, *_ in rows)
+    assert rows_of(pii.find_personal_data(docs, threshold=threshold, min_entity_bits=bits), "doc_id", "n_term") == want
+    clean = pii.sanitise(docs, threshold=threshold, min_entity_bits=bits)
+    assert clean.columns == docs.columns and clean.count() == len(rows) and clean.filter("_sid != 'x' OR term != 'y'").count() == 0
+    assert clean.filter("text LIKE '%@%'").count() == 0
+    assert pii.sanitise(docs.filter("false")).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_normal_tails(spark):
+    from statistics import NormalDist
+
+    z = [-14.0, -10.0, -6.0, -5.0, -3.2, -3.0, -2.999, -1.5, -0.1, 0.0, 0.7, 2.9, 5.0]
+    frame = spark.createDataFrame([(x,) for x in z], "z double")
+    known = {-14.0: 7.793536819192e-45, -10.0: 7.61985302416e-24}
+    for x, p in frame.select("z", secret_scan._phi(F.col("z")).alias("p")).collect():
+        want = known.get(x, NormalDist().cdf(x))
+        assert abs(p / want - 1) < 1e-4, (x, p, want)
+
+
+def test_one_repeated_line_is_left_to_the_line_rule(spark):
+    """A line of 12 of 150 words that comes back once is kept, the same twice more, or as no line, is not."""
+    body = run(126, 300)
+    texts = [(1, run(12, 100) + "\n" + body + "\n" + run(12, 100)), (2, run(8, 100) + "\n" + body + "\n" + run(8, 100) + "\n" + run(8, 100)), (3, run(12, 100) + " " + body + " " + run(12, 100))]
+    rows = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert rows[1].kept and rows[1].n_dup_lines == 1 and not rows[2].kept and not rows[3].kept

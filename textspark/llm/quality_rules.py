@@ -2,7 +2,9 @@
 
 For n-grams of several lengths, rolling hashes of word windows find those that occur twice or more in a
 text; the share of the text's word characters that lie inside them, and inside lines that repeat an
-earlier line, is its repetition coverage. A whole batch of texts is measured with a few array passes:
+earlier line, is its repetition coverage. A text in which one line alone repeats, and once (a signature, a
+refrain), is not judged on that line's n-grams: both of its copies are taken off the n-grams' characters, and
+the limit on duplicated lines decides. A whole batch of texts is measured with a few array passes:
 windows that cross from one text to the next are masked, and a text's number is mixed into its hashes.
 Nothing is shuffled.
 """
@@ -73,8 +75,9 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)."""
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     passed = m["dup_line_chars"] <= LINE_COVERAGE * m["word_chars"]
+    one_line = np.where(m["n_dup_lines"] == 1, 2 * m["dup_line_chars"], 0)
     for k, share in COVERAGE.items():
-        passed &= m[f"dup_{k}gram_chars"] <= share * m["word_chars"]
+        passed &= m[f"dup_{k}gram_chars"] - one_line <= share * m["word_chars"]
     return failed, ~failed & passed
 
 
@@ -83,8 +86,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines and n-grams.
 
     A null or empty text has no words and fails the base rules. Lines count as repeated if an earlier
-    line of the same text is equal and has a word. Repeated rows, equal and null ids get their own rows;
-    an empty table gives an empty result; other columns of the input are not looked at.
+    line of the same text is equal and has a word; ties do not arise, as each text is judged on its own. A long
+    text is measured whole. Repeated rows, equal and null ids get their own rows; an empty table gives an empty
+    result with the same columns; other columns of the input, whatever their names, are not looked at.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 

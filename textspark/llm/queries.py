@@ -87,7 +87,7 @@ def _quality_sql() -> str:
     covered = ", ".join(f"c{n} AS (SELECT r, count(*) AS n_words, sum(length(t[p])) AS chars FROM {_ngram_places(n)} JOIN w USING (r) GROUP BY r)" for n in shares)
     joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in shares)
     columns = ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_{n}gram_chars" for n in shares)
-    passed = " AND ".join(f"100 * dup_{n}gram_chars <= {share} * word_chars" for n, share in shares.items())
+    passed = " AND ".join(f"100 * (dup_{n}gram_chars - CASE WHEN n_dup_lines = 1 THEN 2 * dup_line_chars ELSE 0 END) <= {share} * word_chars" for n, share in shares.items())
     return f"""WITH {_LIST}, l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM w) WHERE regexp_matches(line, {_WORD})),
         d AS (SELECT r, count(*) AS n, sum(length(array_to_string(regexp_extract_all(line, {_WORD}), ''))) AS chars FROM l WHERE again > 1 GROUP BY r), {covered},
         m AS (SELECT doc_id, len(t) AS n_words, length(array_to_string(t, '')) AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
