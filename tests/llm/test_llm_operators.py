@@ -439,3 +439,51 @@ def test_one_repeated_line_is_left_to_the_line_rule(spark):
     rows = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert not any(r.base_failed for r in rows.values())
     assert rows[1].kept and rows[1].n_dup_lines == 1 and not rows[2].kept and not rows[3].kept
+
+
+def _blocks(n, size=3):
+    return [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {size}\r\n\r\n{str(k % 10) * size}\r\n\r\n".encode() for k in range(n)]
+
+
+def test_salvage_of_members_with_many_records():
+    data = b"".join(_blocks(2000, 1000))
+    packed = gzip.compress(data)
+    found = list(warc.salvage(packed))
+    assert len(found) == 2000 and all(isinstance(x, warc.Record) for x in found)
+    assert found[0].start == 0 and found[-1].end == len(packed) and all(a.end == b.start for a, b in zip(found, found[1:], strict=False))
+    half = list(warc.salvage(packed[: len(packed) // 2]))
+    assert len(half) > 500 and isinstance(half[-1], warc.Gap) and half[-1].end == len(packed) // 2
+    assert [x.payload for x in half[:-1]] == [x.payload for x in found[: len(half) - 1]]
+    torn = b"".join(_blocks(3)).replace(b"<urn:1>\r\nContent-Length: 3", b"<urn:1>\r\nContent-Length: 7")
+    kinds = [(type(x).__name__, getattr(x, "payload", None)) for x in warc.salvage(gzip.compress(torn) + gzip.compress(_blocks(1)[0]))]
+    assert kinds == [("Record", b"000"), ("Gap", None), ("Record", b"222"), ("Record", b"000")]
+    assert list(warc.salvage(gzip.compress(b""))) == []
+
+
+def test_salvage_is_linear():
+    """An archive of ten times the members takes about ten times as long, not a hundred times."""
+    import time
+
+    rng = np.random.default_rng(0)
+    members = [gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 20000\r\n\r\n" + rng.bytes(20000) + b"\r\n\r\n", 1) for _ in range(40)]
+
+    def took(times):
+        began = time.perf_counter()
+        assert sum(1 for x in warc.salvage(b"".join(members * times))) == 40 * times
+        return time.perf_counter() - began
+
+    took(1)
+    assert took(50) < 40 * took(5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_salvage_covers_every_byte_of_damaged_archives(seed):
+    rng = np.random.default_rng(seed)
+    data = bytearray(b"".join(gzip.compress(x) if k % 3 else x for k, x in enumerate(_blocks(60, 400))))
+    for at in rng.integers(0, len(data), 12):
+        data[at] = int(rng.integers(0, 256))
+    items, at = list(warc.salvage(bytes(data))), 0
+    for x in items:
+        assert x.start == at and x.end >= x.start
+        at = x.end
+    assert at == len(data) and sum(isinstance(x, warc.Record) for x in items) >= 40

@@ -4,11 +4,13 @@ Writing: a record is a gzip member of its own (or plain), and Spark's text write
 files, with the bytes that end each of them as line separator, so archives go to any file system that
 Spark can write, a bounded number of records to a file. Equal payloads become one response and revisits that refer to it.
 
-Reading: files come as (path, content). The reader walks the gzip members, or the plain bytes, record by
-record. After a failed check (no version line, bad headers, a block that the length does not fit, a
-missing record end, a payload that its digest does not fit, a broken member) it looks for the next
-member's magic or version line at which a whole record parses, goes on there, and logs the bytes between
-as a quarantined gap.
+Reading: files come as (path, content), each of at most 2 GB, which is what a row can hold. The reader walks
+the gzip members, or the plain bytes, record by record; members are unpacked piece by piece and their records
+parsed as they come, so that one member may hold a whole archive. After a failed check (no version line, bad
+headers, a block that the length does not fit, a missing record end, a payload that its digest does not fit,
+a broken member) it looks for the next member's magic or version line at which a whole record parses, goes on
+there, and logs the bytes between as a quarantined gap. Of a member that breaks, the records before the break
+stay, the last of them only if its payload's digest vouches for it. Work is linear in the archive.
 """
 
 from __future__ import annotations
@@ -49,17 +51,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     Of pages with equal payloads of at least min_revisit_bytes bytes, that with the largest id is the
     response and the others are revisits; smaller payloads are responses all. A null payload is empty. A
     null id never is the largest; a group of null ids alone has responses only. Rows that repeat the
-    largest id are responses too. Line ends in a URL are percent-encoded; a null URL is left out.
+    largest id are responses too. Payloads are equal when SHA-1, length and a 64-bit hash agree. Line ends in a
+    URL are percent-encoded; a null URL is left out. An empty table has no records; other columns of the input,
+    whatever their names, are not looked at.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("_body"))
-    rows = rows.withColumns({"_bytes": F.octet_length("_body"), "_sha": F.unhex(F.sha1("_body"))})
+    rows = rows.withColumns({"_bytes": F.octet_length("_body"), "_sha": F.unhex(F.sha1("_body")), "_more": F.xxhash64("_body")})
     groups = (
         rows.filter(F.col("_bytes") >= min_revisit_bytes)
-        .groupBy(F.col("_sha").alias("_gsha"), F.col("_bytes").alias("_gbytes"))
+        .groupBy(F.col("_sha").alias("_gsha"), F.col("_bytes").alias("_gbytes"), F.col("_more").alias("_gmore"))
         .agg(F.max("_id").alias("_refers"), F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1 AND _refers IS NOT NULL")
     )
-    both = rows.join(groups, (F.col("_sha") == F.col("_gsha")) & (F.col("_bytes") == F.col("_gbytes")), "left")
+    both = rows.join(groups, (F.col("_sha") == F.col("_gsha")) & (F.col("_bytes") == F.col("_gbytes")) & (F.col("_more") == F.col("_gmore")), "left")
     revisit = F.col("_refers").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_refers"))
     name = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
     own = F.coalesce(name(F.col("_id")), F.concat(F.lit("<urn:page:null-"), F.hex("_sha"), F.lit(">")))
@@ -111,10 +115,13 @@ def write(pages: DataFrame, path: str, records_per_file: int = 2000, compress: b
 
 @dataclass
 class Record:
+    """A record; ``checked``: its payload's digest was declared and fits."""
+
     start: int
     end: int
     headers: dict[str, str]
     payload: bytes
+    checked: bool = False
 
 
 @dataclass
@@ -128,18 +135,26 @@ class Broken(ValueError):
     """A check that failed."""
 
 
+class Short(Broken):
+    """A check that failed for want of bytes."""
+
+
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+VERSION_BYTES = 10
+LONGEST_HEAD = 1 << 20
+#: Bytes of a member that are read, and unpacked, at a time.
+PIECE = 1 << 16
 
 
-def parse(data: bytes, at: int) -> Record:
+def parse(data: bytes | bytearray, at: int) -> Record:
     """The record that begins at ``at``, every check passed."""
     version = _VERSION_LINE.match(data, at)
     if not version:
-        raise Broken("no version line")
-    head_end = data.find(b"\r\n\r\n", version.end() - 2)
+        raise (Short if len(data) - at < VERSION_BYTES else Broken)("no version line")
+    head_end = data.find(b"\r\n\r\n", version.end() - 2, version.end() + LONGEST_HEAD)
     if head_end < 0:
-        raise Broken("headers do not end")
+        raise (Short if len(data) < version.end() + LONGEST_HEAD else Broken)("headers do not end")
     headers = {}
     for line in data[version.end() : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -150,56 +165,106 @@ def parse(data: bytes, at: int) -> Record:
         raise Broken("no content length")
     block_end = head_end + 4 + int(headers["content-length"])
     if data[block_end : block_end + 4] != RECORD_END:
-        raise Broken("no record end where the length says")
-    block = data[head_end + 4 : block_end]
+        raise (Short if len(data) < block_end + 4 else Broken)("no record end where the length says")
+    block = bytes(memoryview(data)[head_end + 4 : block_end])
     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
     declared = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") != "revisit" and declared.startswith("sha1:") and declared[5:] != sha1(payload):
+    checked = headers.get("warc-type") != "revisit" and declared.startswith("sha1:")
+    if checked and declared[5:] != sha1(payload):
         raise Broken("payload digest")
-    return Record(at, block_end + 4, headers, payload)
+    return Record(at, block_end + 4, headers, payload, checked)
 
 
 def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def _member(data: bytes, at: int, most: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` unpacked, and where it ends."""
-    unpack = zlib.decompressobj(31)
+def _unpacked(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """The gzip member at ``at`` in pieces: unpacked bytes, where the bytes read for them end, and whether the
+    member ends there."""
+    view, unpack, fed = memoryview(data), zlib.decompressobj(31), at
+    while not unpack.eof:
+        piece = unpack.unconsumed_tail
+        if not piece:
+            piece = view[fed : fed + PIECE]
+            fed += len(piece)
+        try:
+            out = unpack.decompress(piece, PIECE)
+        except zlib.error as e:
+            raise Broken("broken member") from e
+        if not out and not len(piece) and not unpack.eof:
+            raise Broken("member is cut off")
+        yield out, fed - len(unpack.unconsumed_tail) - len(unpack.unused_data), unpack.eof
+
+
+def _member(data: bytes, at: int) -> Iterator[Record | Gap | int]:
+    """Records and gaps of the member at ``at``, and in the end where it ends. Their offsets are those of the
+    archive's bytes that had been read; they follow each other without a hole."""
+    buffer, place, reached, last, reason = bytearray(), 0, at, None, ""
     try:
-        out = unpack.decompress(data[at:], most)
-        if not unpack.eof:
-            raise Broken("member is cut off" if not unpack.unconsumed_tail else "member is too large")
-    except zlib.error as e:
-        raise Broken("broken member") from e
-    return out, len(data) - len(unpack.unused_data)
-
-
-def salvage(data: bytes, most: int = 1 << 30) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive in order; offsets count its bytes (records in a gzip member have
-    the member's). Together they cover every byte."""
+        for out, upto, ended in _unpacked(data, at):
+            buffer += out
+            while place < len(buffer):
+                try:
+                    record = parse(buffer, place)
+                except Broken as e:
+                    if isinstance(e, Short) and not ended:
+                        break
+                    if reached == at and last is None and not reason and not _VERSION_LINE.match(buffer):
+                        raise Broken("member without a record") from e
+                    reason = reason or str(e)
+                    following = _VERSION_LINE.search(buffer, place + 1)
+                    place = following.start() if following else max(place + 1, len(buffer) - VERSION_BYTES + 1)
+                    if not following:
+                        if ended:
+                            place = len(buffer)
+                        break
+                    continue
+                if last:
+                    yield last
+                    reached = last.end
+                if reason:
+                    yield Gap(reached, upto, f"in member: {reason}")
+                    reached, reason = upto, ""
+                last = Record(reached, upto, record.headers, record.payload, record.checked)
+                place = record.end
+            if place > PIECE:
+                del buffer[:place]
+                place = 0
+    except Broken:
+        if last and last.checked:
+            yield last
+        raise
+    if last:
+        last.end = last.end if reason else upto
+        yield last
+    if reason:
+        yield Gap(last.end if last else reached, upto, f"in member: {reason}")
+    yield upto
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Records and gaps of an archive in order; offsets count its bytes, and together they cover every byte
+    (but for members that hold nothing)."""
     at, bad, reason = 0, -1, ""
     while at < len(data):
+        end = at
         try:
-            if data.startswith(GZIP_MAGIC, at):
-                inner, end = _member(data, at, most)
-                if _VERSION_LINE.match(inner) is None:
-                    raise Broken("member without a record")
-                found = [x for x in salvage(inner, most)]
-                items: list[Record | Gap] = [Record(at, end, x.headers, x.payload) if isinstance(x, Record) else Gap(at, end, f"in member: {x.reason}") for x in found]
-            else:
-                record = parse(data, at)
-                items, end = [record], record.end
+            for x in _member(data, at) if data.startswith(GZIP_MAGIC, at) else [parse(data, at)]:
+                if bad >= 0:
+                    yield Gap(bad, at, reason)
+                bad = -1
+                if isinstance(x, int):
+                    end = x
+                else:
+                    yield x
+                    end = x.end
         except Broken as e:
             if bad < 0:
-                bad, reason = at, str(e)
-            following = _NEXT.search(data, at + 1)
+                bad, reason = end, str(e)
+            following = _NEXT.search(data, max(at + 1, end))
             at = following.start() if following else len(data)
             continue
-        if bad >= 0:
-            yield Gap(bad, at, reason)
-            bad = -1
-        yield from items
         at = end
     if bad >= 0:
         yield Gap(bad, len(data), reason)
@@ -212,7 +277,8 @@ COLUMNS = "archive string, kind string, start bigint, end bigint, record_id stri
 def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
     """Rows of COLUMNS (and ``payload``) for files, rows of (path, content) as the binaryFile source has.
 
-    Null or empty contents have no rows. Bytes and digest of a response are measured on its payload, those
+    Null or empty contents have no rows, an empty table none; rows that repeat a path are read each on their
+    own; contents of up to 2 GB are read whole, long records too. Bytes and digest of a response are measured on its payload, those
     of a revisit are what its headers say of the full payload (null if they say nothing)."""
     names = [c.split()[0] for c in COLUMNS.split(", ")] + ["payload"] * with_payload
 
@@ -250,7 +316,8 @@ def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def round_trip(pages: DataFrame, path: str, **settings) -> DataFrame:
     """Writes pages under path, reads the archives back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to of every record. An empty table gives an empty result."""
+    record_type, refers_to of every record. Nulls, empty and long payloads, ties and repeated rows are as in
+    records(); an empty table gives an empty result with the same columns."""
     write(pages, path, **settings)
     files = pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("bigint")
