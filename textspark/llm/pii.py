@@ -18,7 +18,8 @@ nothing.
 Scale: one pass finds the entities and their neighbourhoods (pairs are linear in the text), one counts terms
 with map-side partial counts. As c(t, e) is at most the lesser of c(t) and c(e), pairs whose bound stays under
 the threshold go before anything is joined by document, which leaves terms about as rare as their entity.
-Their postings are written once, serve c(t, e), and tell which texts are searched for the spans. Keys of the
+Their postings are written once, serve c(t, e), and tell which texts are searched for the spans; a bitmap of
+the terms' hashes, of at most 16 MiB, keeps nearly all other words from being shuffled for that. Keys of the
 joins are (entity, term) pairs, terms and documents, so an entity that many documents hold is dealt over
 its terms.
 """
@@ -154,12 +155,26 @@ def candidate_terms(docs: DataFrame, base: DataFrame, text_col: str, threshold:
     return pairs.filter(_disclosure(F.least("c_t", "c_e"), prior) >= threshold - 1e-9).select("entity", "term", "n", "c_e", "c_t")
 
 
+def term_bits(terms: DataFrame) -> Column:
+    """A test of the column ``term``: true for all of terms, a written table, and for few others. The bitmap has 16
+    bits to a term, 2**27 at most, and is one row that Spark hands to the tasks with the plan."""
+    size = min(max((16 * terms.count() - 1).bit_length(), 12), 27)
+    place = F.shiftrightunsigned(F.xxhash64("term"), 64 - size)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    some = terms.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
+    all_words = terms.sparkSession.range(1 << size - 6).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = some.unionByName(all_words).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits")).scalar()  # 2**21 words at most
+    return F.call_function("shiftrightunsigned", F.get(bits, word.cast("int")), bit).bitwiseAND(1) == 1
+
+
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _key, term, forms, rows): the texts that hold each of terms as a whole word, in which spellings, and
     how many rows bear that id and text."""
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     words = F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))
-    held = texts.select("_id", "_key", F.explode(words).alias("form")).withColumn("term", F.lower("form")).join(terms, "term")
+    held = texts.select("_id", "_key", F.explode(words).alias("form")).withColumn("term", F.lower("form"))
+    held = held.filter(term_bits(terms)).join(terms, "term")
     each = held.groupBy("_id", "_key", "term", "form").agg(F.count(F.lit(1)).alias("rows"))
     return each.groupBy("_id", "_key", "term").agg(F.collect_set("form").alias("forms"), F.max("rows").alias("rows"))  # spellings of one word
 
@@ -198,7 +213,7 @@ def find_personal_data(
     """
     base = cut(base_spans(docs, id_col, text_col, context), "pii")
     candidates = cut(candidate_terms(docs, base, text_col, threshold, prior, min_entity_bits), "pii-candidates")
-    held = cut(postings(docs, candidates.select("term").distinct(), id_col, text_col), "pii-held")
+    held = cut(postings(docs, cut(candidates.select("term").distinct(), "pii-asked"), id_col, text_col), "pii-held")
     telling = cut(disclosing_terms(base, candidates, held, threshold, prior).select("term").distinct(), "pii-terms")
     beside = base.select("_id", "_key", F.inline("pairs")).join(telling, "term").select("_id", "_key", "start", "end")
     flagged = (
