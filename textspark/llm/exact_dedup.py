@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textspark.llm.common import text_or_empty
+from textspark.llm.common import own, text_or_empty, unused
 
 KEY = ("_sha", "_len", "_check")
 
@@ -24,7 +24,7 @@ KEY = ("_sha", "_len", "_check")
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     text = text_or_empty(text_col)
     return docs.select(
-        F.col(id_col).alias("_id"),
+        own(id_col).alias("_id"),
         F.unhex(F.sha2(text, 256)).alias("_sha"),
         F.octet_length(text).alias("_len"),
         F.xxhash64(text).alias("_check"),
@@ -35,7 +35,8 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Da
 def digest_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8
 ) -> DataFrame:
-    """One row per distinct text: its key columns, ``keep_id``, ``keep_rows`` and ``group_size``."""
+    """One row per distinct text: its key columns, ``keep_id``, ``keep_rows`` and ``group_size``. Nulls, empty and long
+    texts, ties, repeated rows and empty tables are as in exact_dedup."""
     if keep not in ("largest", "smallest") or runs < 1 or fan_in < 2:
         raise ValueError("keep is largest or smallest, runs at least 1, fan_in at least 2")
     best, rank = (F.max, F.col("_id").isNotNull()) if keep == "largest" else (F.min, F.col("_id").isNull())  # nulls lose
@@ -65,8 +66,9 @@ def exact_dedup(
     Texts are equal when identical; null counts as the empty text, so null and empty rows form one
     group. Of a group the row with the largest (or smallest) id stays; a null id stays only if its
     whole group has none (then ``keep_id`` is null and all of its rows are kept). Rows that repeat both
-    id and text count in ``group_size`` and get the same answer each. An empty table gives an empty
-    result; other columns of the input, whatever their names, are not looked at.
+    id and text count in ``group_size`` and get the same answer each; there are no other ties. Texts of any
+    length are hashed whole. An empty table gives an empty result with the same columns; other columns of
+    the input, whatever their names, are not looked at.
     """
     reps = digest_representatives(docs, id_col, text_col, keep, runs, fan_in)
     prints = _fingerprints(docs, id_col, text_col)
@@ -80,20 +82,21 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, all columns unchanged. Of rows that repeat id and text one stays."""
+    """The rows of docs that stay, all columns unchanged. Of rows that repeat id and text one stays.
+
+    Null and empty texts are one group, of which one row stays; a group without an id keeps one row. Long
+    texts are compared whole, by digest and length. An empty table gives an empty one. Columns may have any names."""
+    names = unused(docs.columns, *("_dd" + k for k in KEY), *("_keep" + k for k in KEY), "_keep_id", "_keep_rows")
+    mine, theirs, keep_id, keep_rows = names[:3], names[3:6], names[6], names[7]
     reps = digest_representatives(docs, id_col, text_col, keep).select(
-        *(F.col(k).alias(f"_keep{k}") for k in KEY), F.col("keep_id").alias("_keep_id"), F.col("keep_rows").alias("_keep_rows")
+        *(F.col(k).alias(n) for k, n in zip(KEY, theirs, strict=True)), F.col("keep_id").alias(keep_id), F.col("keep_rows").alias(keep_rows)
     )
-    columns = docs.columns
+    columns = [own(c) for c in docs.columns]
     text = text_or_empty(text_col)
-    marked = docs.withColumns({"_dd_sha": F.unhex(F.sha2(text, 256)), "_dd_len": F.octet_length(text), "_dd_check": F.xxhash64(text)})
-    stays = marked.join(
-        reps,
-        (F.col("_dd_sha") == F.col("_keep_sha"))
-        & (F.col("_dd_len") == F.col("_keep_len"))
-        & (F.col("_dd_check") == F.col("_keep_check"))
-        & F.col(id_col).eqNullSafe(F.col("_keep_id")),
-    )
-    single = stays.filter("_keep_rows = 1").select(*columns)
-    repeated = stays.filter("_keep_rows > 1").dropDuplicates(["_dd_sha", "_dd_len", "_dd_check"]).select(*columns)
+    prints = (F.unhex(F.sha2(text, 256)), F.octet_length(text), F.xxhash64(text))
+    marked = docs.select(*columns, *(p.alias(n) for p, n in zip(prints, mine, strict=True)))
+    same = [F.col(a) == F.col(b) for a, b in zip(mine, theirs, strict=True)]
+    stays = marked.join(reps, same[0] & same[1] & same[2] & own(id_col).eqNullSafe(F.col(keep_id)))
+    single = stays.filter(F.col(keep_rows) == 1).select(*columns)
+    repeated = stays.filter(F.col(keep_rows) > 1).dropDuplicates(mine).select(*columns)
     return single.unionByName(repeated)

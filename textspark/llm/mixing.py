@@ -11,8 +11,10 @@ epoch and id: all documents for every whole epoch, and of the next epoch those b
 running sum of tokens passes what is left.
 
 Scale: only sums per leaf and per (leaf, hash bucket) are shuffled and sorted. Running sums over documents
-are taken in the one bucket of a leaf where the budget ends, so a source with a third of all rows is spread
-over as many tasks as others.
+are taken in the one bucket of a leaf where the budget ends, over one row for each place in the permutation;
+what comes out is one row per leaf, its epochs and the last hash that is in. So whether a document is taken
+is told by its own row and its leaf's, which are broadcast where they are few, and a source with a third
+of all rows is spread over as many tasks as others.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textspark.llm.common import WORD, cut
+from textspark.llm.common import WORD, cut, own, unused
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the permutation hash that make a bucket: 4,096 buckets in a leaf.
 BUCKET_DIGITS = 3
+#: Leaves' rows are broadcast up to this many (some 200 bytes each), else joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def _weight(column: str, weights: Mapping[str, int] | None, default: int) -> Column:
@@ -67,6 +71,57 @@ def leaf_budgets(leaves: DataFrame, budget: DataFrame, weights: Mapping[str, Map
     return rows.select(*LEVELS, "tokens").join(given, list(LEVELS))
 
 
+def _name(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _described(domain: Column, id_col: str, text_col: str) -> dict[str, Column]:
+    return {
+        "domain": _name(domain), "lang": _name(F.col("lang")), "source": _name(F.col("source")), "name": _name(own(id_col)),
+        "n_tokens": F.coalesce(F.regexp_count(own(text_col), F.lit(WORD)), F.lit(0)).cast("bigint"),
+    }
+
+
+def _small(leaves: DataFrame) -> DataFrame:
+    """leaves, a written table with one row per leaf, marked for broadcast if they are few."""
+    return F.broadcast(leaves) if leaves.count() <= MOST_BROADCAST else leaves
+
+
+def _order(seed: int, name: Column) -> Column:
+    """A document's place in the permutation of the epoch that is filled in part."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), name).cast("binary"))
+
+
+def leaf_plan(rows: DataFrame, weights: Mapping[str, Mapping[str, int]] | None, budget_percent: int, max_epochs: int, seed: int) -> DataFrame:
+    """(LEVELS, epochs, last) of each leaf of rows (LEVELS, name, n_tokens): how often all of its documents are
+    taken, and up to which hash they are taken once more (null: all that have tokens; '': none)."""
+    if max_epochs < 1 or budget_percent < 0:
+        raise ValueError("max_epochs is at least 1, budget_percent at least 0")
+    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {budget_percent} div 100").alias("total"))
+    budgets = leaf_budgets(leaves, total, weights or {}, max_epochs).select(
+        *LEVELS, F.expr("if(tokens > 0, budget div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("rest")
+    )
+    budgets = cut(budgets, "budgets")
+    placed = rows.join(_small(budgets), list(LEVELS)).withColumn("_order", _order(seed, F.col("name"))).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    sums = placed.groupBy(*LEVELS, "_bucket", "rest").agg(F.sum("n_tokens").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_bucket"))  # at most 4,096 rows a leaf
+    edges = sums.withColumn("_upto", upto).filter("_upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_edge"))
+    edges = cut(edges, "edges")
+    at_edge = placed.join(_small(edges), list(LEVELS)).filter(F.col("_bucket") == F.col("_edge._bucket"))
+    places = at_edge.groupBy(*LEVELS, "_order", "rest", "_edge").agg(F.sum("n_tokens").alias("n_tokens"))  # equal ids count together
+    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_order"))
+    inside = places.withColumn("_in", F.col("_edge._before") + running <= F.col("rest")).filter("_in").groupBy(*LEVELS).agg(F.max("_order").alias("_inside"))
+    last = F.when(F.col("_edge").isNotNull(), F.coalesce("_inside", F.col("_edge._bucket")))  # the bare bucket comes before its hashes
+    plan = budgets.join(edges, list(LEVELS), "left").join(inside, list(LEVELS), "left")
+    return cut(plan.select(*LEVELS, "epochs", last.alias("last")), "leaves")
+
+
+def _copies(seed: int, name: Column, n_tokens: Column) -> Column:
+    once_more = F.col("last").isNull() | (_order(seed, name) <= F.col("last"))
+    return F.when(n_tokens > 0, F.col("epochs") + once_more.cast("bigint")).otherwise(0).cast("bigint")
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -81,39 +136,28 @@ def mix(
 
     The budget is budget_percent of all tokens; tokens are words. Weights are positive integers by level and
     name, 1 where none is given; a name with weight 0 gets nothing. Null domains, languages and sources are
-    the name ''. Documents without a word have no copies. Rows that share an id share their place in a leaf's
-    permutation and are in or out together, a null id counting as ''. An empty table gives an empty result;
-    other columns of the input are not looked at."""
-    if max_epochs < 1 or budget_percent < 0:
-        raise ValueError("max_epochs is at least 1, budget_percent at least 0")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("_id"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
-        ),
-        "mix",
-    )
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {budget_percent} div 100").alias("total"))
-    budgets = leaf_budgets(leaves, total, weights or {}, max_epochs).select(
-        *LEVELS, F.expr("if(tokens > 0, budget div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("rest")
-    )
-    budgets = cut(budgets, "budgets")
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), name(F.col("_id")))
-    placed = rows.join(budgets, list(LEVELS)).withColumn("_order", F.md5(key.cast("binary"))).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    sums = placed.groupBy(*LEVELS, "_bucket", "rest").agg(F.sum("n_tokens").alias("_sum"))
-    upto = F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_bucket"))  # at most 4,096 rows a leaf
-    edges = sums.withColumn("_upto", upto).filter("_upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_edge"))
-    placed = placed.join(edges, list(LEVELS), "left")
-    inside = F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge._bucket"))
-    at_edge = placed.filter(F.col("_bucket") == F.col("_edge._bucket"))
-    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_order"))  # equal ids count together
-    at_edge = at_edge.withColumn("_in", F.col("_edge._before") + running <= F.col("rest"))
-    away = placed.filter(~F.coalesce(F.col("_bucket") == F.col("_edge._bucket"), F.lit(False))).withColumn("_in", inside)
-    both = away.unionByName(at_edge)
-    copies = F.when(F.col("n_tokens") > 0, F.col("epochs") + F.col("_in").cast("bigint")).otherwise(0)
-    return both.select(F.col("_id").alias(id_col), *LEVELS, "n_tokens", copies.cast("bigint").alias("copies"))
+    the name ''. Documents without a word, null texts included, have no copies; a long one counts whole and is in
+    or out whole. Rows of a leaf that share an id share their place in its permutation and are in or out
+    together, a null id counting as ''; in other leaves they have places of their own. An empty table gives
+    an empty result with the same columns; other columns of the input, whatever their names, are not looked at."""
+    rows = cut(docs.select(own(id_col).alias("_id"), *(c.alias(n) for n, c in _described(domain, id_col, text_col).items())), "mix")
+    plan = leaf_plan(rows, weights, budget_percent, max_epochs, seed)
+    both = rows.join(_small(plan), list(LEVELS))
+    return both.select(F.col("_id").alias(id_col), *LEVELS, "n_tokens", _copies(seed, F.col("name"), F.col("n_tokens")).alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, **settings) -> DataFrame:
+    """The rows of docs, all columns unchanged, each as often as mix() says. Each row's number is told on the row
+    itself, so that rows of one id in several leaves, and null ids, are not mixed up. Columns may have any names."""
+    described = _described(domain, id_col, text_col)
+    rows = docs.select(*(c.alias(n) for n, c in described.items()))
+    defaults = {"weights": None, "budget_percent": 60, "max_epochs": 2} | settings
+    plan = leaf_plan(cut(rows, "mix"), defaults["weights"], defaults["budget_percent"], defaults["max_epochs"], seed)
+    (row,) = unused([*described, "epochs", "last"], "_row")
+    whole = docs.select(F.struct(*(own(c).alias(f"c{k}") for k, c in enumerate(docs.columns))).alias(row), *(c.alias(n) for n, c in described.items()))
+    taken = whole.join(_small(plan), list(LEVELS)).withColumn("copies", _copies(seed, F.col("name"), F.col("n_tokens"))).filter("copies > 0")
+    taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return taken.select(*(F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def oracle(weights: Mapping[str, Mapping[str, int]], domain_sql: str, budget_percent: int, max_epochs: int, seed: int) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textspark.llm import words as W
-from textspark.llm.common import cut
+from textspark.llm.common import WORD, cut, own, unused
 from textspark.llm.components import connected_components
 from textspark.llm.distinct_texts import KEY, copied_texts, keyed, representatives
 
@@ -331,18 +331,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null, empty or blank text has no shingles and links with nothing, not even its copies; other copies
     link. Rows with a null id take part, and component_id is null only where no row of the component has an
-    id. Rows that share an id but not the text count as one document, n_shingles that of its largest text.
-    An empty table gives an empty result; other columns of the input are not looked at.
+    id. Rows that share an id but not the text count as one document: what links with one text of it is in its
+    component. n_shingles is then that of the row's text, or of the largest of those that no other id has.
+    Texts of any length are compared whole. Ids are integers; others raise TypeError. An empty table gives an
+    empty result with the same columns; other columns of the input, whatever their names, are not looked at.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is not an integer column")
     buckets = buckets or max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)
-    named = docs.select(F.coalesce(F.col(id_col).cast("bigint"), nameless).alias("_doc"), F.col(text_col).alias("_body"))
+    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(F.coalesce(own(text_col), F.lit(""))), 2)
+    named = docs.select(F.coalesce(own(id_col).cast("bigint"), nameless).alias("_doc"), own(text_col).alias("_body"))
     rows = keyed(named, "_doc", "_body")
     copied = copied_texts(rows)
     sets = cut(text_sets(representatives(rows, copied), n, percent, buckets), "sets")
     blocks = connected_components(prefix_stars(sets))
     found = cut(block_links(sets, blocks, percent), "links")
-    classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    each = cut(rows.join(copied, list(KEY), "left").select("_id", F.coalesce("_rep", "_id").alias("node"), F.rlike("_text", F.lit(WORD)).alias("_worded")), "nodes")
+    several = each.filter("_worded").groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b < _last").select("_id", "b")
+    same_id = each.filter("_worded").join(several, "_id").select(F.col("node").alias("a"), "b")  # of ids whose rows differ in text
+    classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same_id))
     degree = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     texts = (
         sets.groupBy("node")
@@ -350,18 +357,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(classes, "node", "left")
         .join(degree, "node", "left")
     )
-    own = rows.join(copied, list(KEY), "left").select("_id", F.coalesce("_rep", "_id").alias("node"))
     named_only = lambda c: F.when(c < NAMELESS, c)
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).otherwise(F.col("_id"))
-    return own.join(texts, "node").select(
-        named_only(F.col("_id")).alias(id_col), "n_shingles", named_only(component).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+    worded = lambda c, other: F.when(F.col("_worded"), c).otherwise(other)
+    zero = F.lit(0).cast("bigint")
+    return each.join(texts, "node").select(
+        named_only(F.col("_id")).alias(id_col),
+        worded(F.col("n_shingles"), zero).alias("n_shingles"),
+        named_only(worded(F.coalesce("label", "node"), F.col("_id"))).alias("component_id"),
+        worded(F.coalesce("n_links", zero), zero).alias("n_links"),
     )
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs, all columns unchanged, that are the first of their component or link with nothing.
-    Rows with a null id stay."""
-    stay = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, percent)
-    stay = stay.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
-    named = docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+    Rows with a null id stay, and so do rows without a word; rows that share the first id of a component all
+    stay. Long texts are compared whole. An empty table gives an empty one. Columns may have any names."""
+    (stays,) = unused([*docs.columns, "first"], "_stays")
+    stay = near_duplicates(docs.filter(own(id_col).isNotNull()), id_col, text_col, n, percent)
+    stay = stay.groupBy(own(id_col).alias(stays)).agg(F.min("component_id").alias("first")).filter(F.col(stays) == F.col("first")).select(stays)
+    named = docs.join(stay, own(id_col) == F.col(stays), "left_semi")
+    return named.unionByName(docs.filter(own(id_col).isNull()))

@@ -6,7 +6,7 @@ cost: a bin of length c costs c and an overhead for the sequence, and the cost i
 can be expected to hold, the piece and what the pieces not yet placed can still fill. In the end each bin
 shrinks to the least permitted length that holds its contents.
 
-Pieces are dealt by a hash of the document into shards of about ``shard_pieces`` pieces, and each shard is
+Pieces are dealt by a hash of document, piece and, for rows that repeat, a number into shards of about ``shard_pieces`` pieces, and each shard is
 packed on its own, so a shard's memory is bounded and shards run in parallel at any size of corpus; the
 share of bins that a shard leaves partly filled is about one bin of each length. Texts are not shuffled.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textspark.llm.common import WORD, cut
+from textspark.llm.common import WORD, cut, own
 
 CAPACITIES = (512, 1024, 2048)
 OVERHEAD = 64
@@ -88,26 +88,27 @@ def pack_documents(
     """One row per piece: id, piece, start (token in the document), n_tokens, bin_id, bin_offset, bin_capacity.
 
     Tokens are words, or counted by ``tokens``. A document of no tokens, null texts included, has one piece of 0
-    tokens in no bin (bin columns null). Equal pieces are placed in order of id and text. Repeated rows, equal
-    and null ids are packed each on their own; an empty table gives an empty result; other columns of the input
+    tokens in no bin (bin columns null); a long one has as many pieces as it needs. Equal pieces are placed in
+    order of id and text. Repeated rows, equal and null ids are packed each on their own; ids may have any type. An
+    empty table gives an empty result with the same columns; other columns of the input, whatever their names,
     are not looked at."""
     largest = max(capacities)
-    counted = tokens if tokens is not None else F.regexp_count(text_col, F.lit(WORD))
-    items = cut(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(counted, F.lit(0)).cast("bigint").alias("size"), F.xxhash64(text_col).alias("tie")), "items"
-    )
-    pieces = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / largest)))).first()[0] or 0  # a number
+    counted = tokens if tokens is not None else F.regexp_count(own(text_col), F.lit(WORD))
+    sizes = docs.select(own(id_col).alias("id"), F.coalesce(counted, F.lit(0)).cast("bigint").alias("size"), F.xxhash64(own(text_col)).alias("tie"))
+    items = cut(sizes.groupBy("id", "tie", "size").agg(F.count(F.lit(1)).alias("rows")), "items")  # rows that repeat are told apart below
+    pieces = items.agg(F.sum(F.col("rows") * F.greatest(F.lit(1), F.ceil(F.col("size") / largest)))).first()[0] or 0  # a number
     shards = max(1, -(-int(pieces) // shard_pieces))
+    items = items.select("id", "tie", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("again"))
     cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / largest) - 1).cast("int")))
-    rows = items.select("id", "tie", "size", cuts.alias("piece")).withColumns(
+    rows = items.select("id", "tie", "size", "again", cuts.alias("piece")).withColumns(
         {
             "start": F.col("piece").cast("bigint") * largest,
             "n": F.least(F.lit(largest).cast("bigint"), F.col("size") - F.col("piece").cast("bigint") * largest),
-            "shard": F.pmod(F.xxhash64("id", "tie", "piece"), F.lit(shards)).cast("int"),
+            "shard": F.pmod(F.xxhash64("id", "tie", "piece", "again"), F.lit(shards)).cast("int"),
         }
     )
-    schema = f"`{id_col}` bigint, piece int, start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint, bin_capacity bigint"
-    names = [c.strip().split(" ")[0].strip("`") for c in schema.split(",")]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint, bin_capacity bigint"
+    names = [id_col, "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_capacity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -134,5 +135,5 @@ def pack_documents(
         one = lambda c: t.column(c).combine_chunks()
         return pa.RecordBatch.from_arrays([one("id"), one("piece"), one("start"), one("n"), pad((shard << 32) + bins), pad(offsets), pad(final[bins] if len(bins) else bins)], names)
 
-    dealt = rows.select("shard", "n", "id", "tie", "piece", "start").repartition("shard").sortWithinPartitions("shard", F.desc("n"), "id", "tie", "piece")
+    dealt = rows.select("shard", "n", "id", "tie", "piece", "start", "again").repartition("shard").sortWithinPartitions("shard", F.desc("n"), "id", "tie", "again", "piece")
     return dealt.mapInArrow(run, schema)
