@@ -8,7 +8,6 @@ sequences. Every stage's result is a table in the shared folder, from which the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textspark.llm import exact_dedup, mixing, ngram_jaccard, packing, toxicity
 from textspark.llm.common import cut, table
@@ -16,30 +15,28 @@ from textspark.llm.queries import MIX_WEIGHTS, mix_domain
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled rows among docs; rows predicted toxic go."""
+    """Trained on the labelled rows among docs; rows predicted toxic go. Null and empty texts are clean."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null and empty texts are one group."""
     return exact_dedup.keep_first_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of five-word Jaccard similarity of 0.75 or more the row with the least doc_id stays."""
+    """Of each group of five-word Jaccard similarity of 0.75 or more the row with the least doc_id stays; so do
+    rows without a word or without an id."""
     return ngram_jaccard.keep_one_of_each_group(docs)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix holds it."""
-    chosen = mixing.mix(docs, mix_domain(), weights=MIX_WEIGHTS).filter("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])  # rows of one id are chosen together
-    taken = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each row as often as the mix holds it; rows without a word are in none."""
+    return mixing.mixed_rows(docs, mix_domain(), weights=MIX_WEIGHTS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their bins."""
+    """The pieces of all rows in their bins."""
     return packing.pack_documents(docs)
 
 
