@@ -18,8 +18,8 @@ nothing.
 Scale: one pass finds the entities and their neighbourhoods (pairs are linear in the text), one counts terms
 with map-side partial counts. As c(t, e) is at most the lesser of c(t) and c(e), pairs whose bound stays under
 the threshold go before anything is joined by document, which leaves terms about as rare as their entity.
-Their postings are written once, serve c(t, e), and tell which texts are searched for the spans; a bitmap of
-the terms' hashes, of at most 16 MiB, keeps nearly all other words from being shuffled for that. Keys of the
+Their postings are written once, serve c(t, e), and tell which texts are searched for the spans; bitmaps of
+hashes, of at most 16 MiB, keep nearly all other words and texts from being shuffled for that. Keys of the
 joins are (entity, term) pairs, terms and documents, so an entity that many documents hold is dealt over
 its terms.
 """
@@ -155,14 +155,14 @@ def candidate_terms(docs: DataFrame, base: DataFrame, text_col: str, threshold:
     return pairs.filter(_disclosure(F.least("c_t", "c_e"), prior) >= threshold - 1e-9).select("entity", "term", "n", "c_e", "c_t")
 
 
-def term_bits(terms: DataFrame) -> Column:
-    """A test of the column ``term``: true for all of terms, a written table, and for few others. The bitmap has 16
-    bits to a term, 2**27 at most, and is one row that Spark hands to the tasks with the plan."""
-    size = min(max((16 * terms.count() - 1).bit_length(), 12), 27)
-    place = F.shiftrightunsigned(F.xxhash64("term"), 64 - size)
+def among(rows: DataFrame, column: str) -> Column:
+    """A test of the column of that name: true for all values in rows, a written table, and for few others. A bitmap of
+    hashes has 16 bits to a row, 2**27 at most, and is one row that Spark hands to the tasks with the plan."""
+    size = min(max((16 * rows.count() - 1).bit_length(), 12), 27)
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - size)
     word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
-    some = terms.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
-    all_words = terms.sparkSession.range(1 << size - 6).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    some = rows.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
+    all_words = rows.sparkSession.range(1 << size - 6).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     words = some.unionByName(all_words).groupBy("w").agg(F.bit_or("b").alias("b"))
     bits = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits")).scalar()  # 2**21 words at most
     return F.call_function("shiftrightunsigned", F.get(bits, word.cast("int")), bit).bitwiseAND(1) == 1
@@ -174,7 +174,7 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> D
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     words = F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))
     held = texts.select("_id", "_key", F.explode(words).alias("form")).withColumn("term", F.lower("form"))
-    held = held.filter(term_bits(terms)).join(terms, "term")
+    held = held.filter(among(terms, "term")).join(terms, "term")
     each = held.groupBy("_id", "_key", "term", "form").agg(F.count(F.lit(1)).alias("rows"))
     return each.groupBy("_id", "_key", "term").agg(F.collect_set("form").alias("forms"), F.max("rows").alias("rows"))  # spellings of one word
 
@@ -193,7 +193,9 @@ def occurrences(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) ->
     """(_id, _key, start, end) of every place in docs where one of the spellings in held, a postings() table, stands."""
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     forms = held.groupBy(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey")).agg(F.flatten(F.collect_set("forms")).alias("_forms"))  # at most one text's words
-    both = texts.join(cut(forms, "pii-forms"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey")))
+    forms = cut(forms, "pii-forms")
+    texts = texts.filter(among(forms.select(F.col("_hkey").alias("_key")), "_key"))
+    both = texts.join(forms, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_key") == F.col("_hkey")))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))  # forms are letters
     found = located(F.col("_text"), F.regexp_extract_all("_text", pattern, F.lit(0)), pattern)
     return both.select("_id", "_key", F.explode(found).alias("x")).select("_id", "_key", "x.start", "x.end")
