@@ -36,6 +36,11 @@ def collapse_whitespace(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def drop_non_ascii(text: Column | str) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 

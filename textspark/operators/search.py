@@ -9,23 +9,33 @@ from pyspark.sql import functions as F
 
 from textspark.functions import text as T
 from textspark.operators.lexical import ranked, term_counts
+from textspark.sources.scratch import cut
+
+
+def query_postings(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, length, term, tf) of the terms in wanted, a written table, and for each document a row with a null term,
+    from one pass over the texts: other terms are dropped where they are found, so only these are shuffled."""
+    rows = docs.select(F.col(id_col), T.words_array(F.coalesce(text_col, F.lit(""))).alias("_w"))
+    rows = rows.select(id_col, F.size("_w").cast("double").alias("length"), F.explode(F.array_append("_w", F.lit(None).cast("string"))).alias("term"))
+    terms = wanted.select(F.col("term").alias("_t")).distinct()
+    kept = rows.join(terms, F.col("term") == F.col("_t"), "left").filter("term IS NULL OR _t IS NOT NULL")
+    return kept.groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """Top k documents of each query: (query_id, id, score, matched, rank). Ties go to more matched terms, then
-    to the smaller id. Queries' terms meet postings by an equi-join on the term; only postings of query terms
-    are scored, with map-side sums per (query, document)."""
+    to the smaller id. One pass over the texts gives the postings of the queries' terms and the lengths, a
+    written table; queries meet it by an equi-join on the term, with map-side sums per (query, document)."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 is positive, b in [0, 1]")
-    postings = term_counts(docs, id_col, text_col)
-    lengths = docs.select(F.col(id_col), F.size(T.token_array(text_col)).cast("double").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    wanted = term_counts(queries, query_id, query_text).withColumnRenamed("tf", "qtf")
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = cut(term_counts(queries, query_id, query_text).withColumnRenamed("tf", "qtf"), "query-terms")
+    postings = cut(query_postings(docs, wanted, id_col, text_col), "query-postings")
+    hits = postings.filter("term IS NOT NULL")
+    stats = postings.filter("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean_length"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(df, "term").join(F.broadcast(stats))
+    weights = wanted.join(df, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = hits.join(weights.withColumn("idf", idf), "term").join(lengths, id_col)
+    scored = hits.join(weights.withColumn("idf", idf), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     sums = scored.groupBy(query_id, id_col).agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("matched"))
     sums = sums.withColumn("score", F.round("raw", 6)).drop("raw")
@@ -115,8 +125,9 @@ def min_max(rows: DataFrame, by: str, score: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(high - low <= 1.1920929e-07, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, k: int, weights: tuple[float, float] = (0.6, 0.4), by: str = "query_id", id_col: str = "doc_id") -> DataFrame:
-    """Hybrid ranking of two candidate lists (by, id, score): each scaled to [0, 1], missing ones 0, weighted."""
+def fuse(lexical: DataFrame, semantic: DataFrame, k: int, weights: tuple[float, float] = (0.4, 0.6), by: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """Hybrid ranking of two candidate lists (by, id, score): each scaled to [0, 1], missing ones 0, weighted (lexical,
+    semantic)."""
     if min(weights) < 0 or not sum(weights):
         raise ValueError("weights are not negative and not both zero")
     a = min_max(lexical, by, "score", "lexical").select(by, id_col, "lexical")

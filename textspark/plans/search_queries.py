@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "hybrid_fusion": f"""WITH {_bm25('SELECT * FROM documents', 'query_id % 20 = 0', 64)}, {_TOP}, t AS (SELECT * FROM top WHERE rank <= 64 AND query_id IN (SELECT query_id FROM bm)),
         l AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1.1920929e-07 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM bm WINDOW w AS (PARTITION BY query_id)),
         s AS (SELECT query_id, vec_id AS doc_id, CASE WHEN max(score) OVER w - min(score) OVER w <= 1.1920929e-07 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM t WINDOW w AS (PARTITION BY query_id)),
-        f AS (SELECT query_id, doc_id, coalesce(s, 0) AS s, round(0.6 * coalesce(l, 0) + 0.4 * coalesce(s, 0), 6) AS score FROM l FULL JOIN s USING (query_id, doc_id))
+        f AS (SELECT query_id, doc_id, coalesce(s, 0) AS s, round(0.4 * coalesce(l, 0) + 0.6 * coalesce(s, 0), 6) AS score FROM l FULL JOIN s USING (query_id, doc_id))
         SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s DESC, doc_id))::INT AS rank FROM f QUALIFY rank <= 10""",
     "rerank_overlap": f"""WITH {_bm25('SELECT * FROM documents')}, q2 AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(text, {_quoted(P.TOKEN)}), lambda x: lower(x))) AS qt FROM benchmark),
         s AS (SELECT query_id, doc_id, bm.rank AS first_rank, round(len(list_intersect(qt, list_transform(t, lambda x: lower(x)))) / greatest(len(qt), 1), 6) AS rerank_score FROM bm JOIN q2 USING (query_id) JOIN toks USING (doc_id))
