@@ -46,7 +46,7 @@ STEM_SUFFIXES = {
 
 # Scripts by code points, as character classes.
 SCRIPTS = {
-    "Latin": r"A-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}",
+    "Latin": r"A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}",
     "Greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}",
     "Cyrillic": r"\x{0400}-\x{052F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}",
     "Hebrew": r"\x{0590}-\x{05FF}",

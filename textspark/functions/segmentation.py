@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,12 +17,28 @@ ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc",
 TERMINATORS = ".?!…。！？"
 
 _END = re.compile(f"[{TERMINATORS}]")
-_LAST_WORD = re.compile(r"[^\s(\[\"'“‘]+$")
 
 
-def sentence_spans(text: str, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> list[tuple[int, int]]:
+def folded(abbreviation: str) -> str:
+    """An abbreviation as it is compared: NFKC, case folded, without dots at its end."""
+    return unicodedata.normalize("NFKC", abbreviation.strip().rstrip(".")).casefold()
+
+
+def _abbreviated(text: str, at: int, known: frozenset[str]) -> bool:
+    """Whether the run of letters and dots around the dot at ``at`` is a known abbreviation or a single capital."""
+    start, end = at, at
+    while start and (text[start - 1].isalpha() or text[start - 1] == "."):
+        start -= 1
+    while end < len(text) and (text[end].isalpha() or text[end] == "."):
+        end += 1
+    word = text[start:end].rstrip(".")
+    return folded(word) in known or (len(word) == 1 and "A" <= word <= "Z")
+
+
+def sentence_spans(text: str, abbreviations: tuple[str, ...] = ()) -> list[tuple[int, int]]:
     """Code-point spans of sentences, trimmed. A terminator ends one unless the next character is another, or
-    it is a dot between digits or after an abbreviation or a single capital."""
+    it is a dot between digits, or of an abbreviation (built in or given) or a single capital."""
+    known = frozenset(x for x in map(folded, (*ABBREVIATIONS, *abbreviations)) if x)
     spans, start = [], 0
 
     def add(a: int, b: int) -> None:
@@ -40,8 +57,7 @@ def sentence_spans(text: str, abbreviations: tuple[str, ...] = ABBREVIATIONS) ->
             before = text[i - 1 : i] if i else ""
             if before.isascii() and before.isdigit() and following.isascii() and following.isdigit():
                 continue
-            word = _LAST_WORD.search(text, max(start, i - 64), i)
-            if word and (unicodedata.normalize("NFKC", word[0]).casefold() in abbreviations or re.fullmatch("[A-Z]", word[0])):
+            if _abbreviated(text, i, known):
                 continue
         add(start, i + 1)
         start = i + 1
@@ -49,6 +65,28 @@ def sentence_spans(text: str, abbreviations: tuple[str, ...] = ABBREVIATIONS) ->
     return spans
 
 
+def sentence_array(text: Column | str, abbreviations: tuple[str, ...] = ()) -> Column:
+    """The sentences of sentence_spans as an array of texts, in the JVM: a mark is put behind every terminator that
+    ends one, and the text is split there. Abbreviations are compared without NFKC here."""
+    known = sorted({x for x in map(folded, (*ABBREVIATIONS, *abbreviations)) if x})
+    fresh = r"(?<![\p{L}.])"
+    words = "|".join(re.escape(x) for x in known)
+    rules = [
+        rf"(?![{TERMINATORS}])",  # the last of several
+        r"(?!(?<=[0-9]\.)[0-9])",  # no decimal point
+        rf"(?!(?<={fresh}(?i:{words})\.{{1,4}})(?!\p{{L}}))",  # behind an abbreviation
+        rf"(?!(?<={fresh}[A-Z]\.{{1,4}})(?!\p{{L}}))",  # behind a single capital
+    ]
+    for x in known:  # a dot inside an abbreviation
+        for k, c in enumerate(x):
+            if c == ".":
+                rules.append(rf"(?!(?<={fresh}(?i:{re.escape(x[:k])})\.)(?i:{re.escape(x[k + 1 :])})\.*(?![\p{{L}}.]))")
+    dot = r"\." + "".join(rules)
+    others = TERMINATORS.replace(".", "")
+    marked = F.regexp_replace(text, rf"[{others}](?![{TERMINATORS}])|{dot}", "$0\x00")
+    return F.filter(F.transform(F.split(marked, "\x00"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+
+
 def _spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t or "")])
 
@@ -73,14 +111,16 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
+_BITS = np.arange(64, dtype=np.uint64)
+
+
 def simhash(features: list[str]) -> int:
     """64 signed sums over the features' hashes; a bit is set where the sum is not negative."""
-    sums = [0] * 64
-    for feature in features:
-        h = fnv1a64(feature.encode())
-        for k in range(64):
-            sums[k] += 1 if h >> k & 1 else -1
-    return sum(1 << k for k in range(64) if sums[k] >= 0) if features else 0
+    if not features:
+        return 0
+    hashes = np.fromiter((fnv1a64(f.encode()) for f in features), np.uint64, len(features))
+    set_bits = ((hashes[:, None] >> _BITS) & np.uint64(1)).sum(0, dtype=np.int64)
+    return int(((2 * set_bits >= len(features)).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
 
 
 def _simhashes(features: pd.Series) -> pd.Series:
@@ -119,7 +159,8 @@ def osa_udf(limit: int):
 
 
 def century_years(century: int, bc: bool = False, part: str | None = None) -> tuple[int, int]:
-    """First and last year of a century; early is its years 1-33, mid 34-66, late 67-100. BC years are negative."""
+    """First and last year of a century; early is its years 1-33, mid 34-66, late 67-100. BC years are negative,
+    and a century BC begins with the year farthest back."""
     first, last = {"early": (1, 33), "mid": (34, 66), "late": (67, 100), None: (1, 100)}[part]
     base = (century - 1) * 100
-    return (-(base + last), -(base + first)) if bc else (base + first, base + last)
+    return (-(base + 101 - first), -(base + 101 - last)) if bc else (base + first, base + last)

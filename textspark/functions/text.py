@@ -68,8 +68,42 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {name: (F.length(plain) - F.length(F.regexp_replace(plain, f"[{span}]", ""))).cast("bigint") for name, span in P.SCRIPTS.items()}
 
 
+#: Other scripts' letters count as Other.
+def script_profile(text: Column | str) -> Column:
+    """struct(counts, dominant, is_mixed): characters by script and Other, the largest (the first by name of equal
+    ones, null without any), and whether more than one occurs."""
+    c = F.col(text) if isinstance(text, str) else text
+    plain = F.regexp_replace(c, r"(?U)[\s\p{N}!-/:-@\[-`{-~…。！？]", "")
+    counts = script_counts(c)
+    other = F.length(plain) - sum(counts.values(), F.lit(0))
+    rows = F.array(*(F.struct(F.lit(name).alias("script"), n.alias("n")) for name, n in (*counts.items(), ("Other", other.cast("bigint")))))
+    seen = F.array_sort(F.filter(rows, lambda x: x["n"] > 0))
+    most = F.array_max(F.transform(seen, lambda x: x["n"]))
+    dominant = F.get(F.filter(seen, lambda x: x["n"] == most), F.lit(0))["script"]
+    return F.struct(F.map_from_arrays(F.transform(seen, lambda x: x["script"]), F.transform(seen, lambda x: x["n"])).alias("counts"), dominant.alias("dominant"), (F.size(seen) > 1).alias("is_mixed"))
+
+
+#: A paragraph: from its first character that is no white space through the lines that have one.
+PARAGRAPH = r"\S[^\n]*(?:\n[^\S\n]*\S[^\n]*)*"
+
+
+def paragraph_array(text: Column | str) -> Column:
+    return F.transform(F.regexp_extract_all(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(PARAGRAPH), F.lit(0)), strip)
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ordinal, text) of the runs of non-blank lines, trimmed."""
-    blocks = F.split(F.regexp_replace(F.replace(text_col, F.lit("\r\n"), F.lit("\n")), r"(?U)\n[ \t]*(?=\n)", "\n"), "\n\n+")
-    kept = F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, r"(?U)^\s+|\s+$", "")), lambda b: b != "")
-    return docs.select(F.col(id_col), F.posexplode(kept).alias("ordinal", "paragraph"))
+    """(id, ordinal, paragraph) of the runs of non-blank lines, trimmed."""
+    return docs.select(F.col(id_col), F.posexplode(paragraph_array(text_col)).alias("ordinal", "paragraph"))
+
+
+def paragraph_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ordinal, start, end) of paragraphs in code points, from the first to the last character that is no white
+    space. Lines may end in CR LF."""
+    text = F.coalesce(text_col, F.lit(""))
+    pattern = r"\S[^\n]*(?:\n[^\S\n]*\S[^\n]*)*"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    rows = docs.select(F.col(id_col), F.posexplode(F.arrays_zip(found.alias("p"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.transform(found, F.length).alias("n"))).alias("ordinal", "x"), gaps.alias("_g"), F.transform(found, F.length).alias("_n"))
+    upto = lambda c, k: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0), lambda s, x: s + x)
+    start = upto(F.col("_g"), F.col("ordinal") + 1) + upto(F.col("_n"), F.col("ordinal"))
+    return rows.select(id_col, "ordinal", start.cast("bigint").alias("start"), (start + F.length(strip("x.p"))).cast("bigint").alias("end"))

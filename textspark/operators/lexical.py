@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textspark.functions import patterns as P
 from textspark.functions import text as T
+from textspark.sources.scratch import cut
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 1, stop: Sequence[str] = ()) -> DataFrame:
@@ -100,6 +101,7 @@ def corpus_term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("term")
         .agg(F.sum("tf").alias("collection_count"), F.count(F.lit(1)).alias("document_count"))
     )
+    stats = cut(stats, "term-stats")  # read twice
     total = stats.agg(F.sum("collection_count").alias("total_terms"))
     return stats.join(F.broadcast(total)).select("term", "collection_count", "document_count", (F.col("collection_count") / F.col("total_terms")).alias("frequency"))
 
@@ -172,9 +174,17 @@ def related_terms(docs: DataFrame, window: int = 4, id_col: str = "doc_id", text
     return pairs.select("a", "b", "n", (F.col("n") / F.sqrt(F.col("c_a").cast("double") * F.col("c_b"))).alias("score"))
 
 
+def numbered_vocabulary(terms: DataFrame) -> DataFrame:
+    """(term, column) of distinct terms, a written table: their places in sorted order from 0. Ranges of terms are
+    sorted and numbered each in a task; only the ranges' sizes meet in one."""
+    ranged = cut(terms.repartitionByRange("term").select("term", F.spark_partition_id().alias("_r")), "vocabulary")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("term")) - 1
+    return ranged.withColumn("_k", place).join(F.broadcast(sizes), "_r").select("term", (F.col("_k") + F.col("_off")).cast("bigint").alias("column"))
+
+
 def sparse_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, column, value): counts, columns numbered by the vocabulary's order."""
-    postings = term_counts(docs, id_col, text_col)
-    vocabulary = postings.select("term").distinct()
-    numbered = vocabulary.withColumn("column", (F.row_number().over(Window.orderBy("term")) - 1).cast("bigint"))
-    return postings.join(numbered, "term").select(id_col, "column", F.col("tf").alias("value"))
+    postings = cut(term_counts(docs, id_col, text_col), "postings")
+    return postings.join(numbered_vocabulary(postings.select("term").distinct()), "term").select(id_col, "column", F.col("tf").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textspark.functions import text as T
 from textspark.operators.lexical import ranked, windows_of
+from textspark.sources.scratch import cut
 
 
 def transitions(docs: DataFrame, order: int = 2, text_col: str = "text") -> DataFrame:
@@ -23,6 +24,11 @@ def starts(docs: DataFrame, order: int = 2, text_col: str = "text") -> DataFrame
     return rows.groupBy(F.array_join(F.slice("w", 1, order), " ").alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counters(chain: DataFrame) -> DataFrame:
+    """One row: transitions counted in all, and different contexts."""
+    return chain.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("transitions"), F.count_distinct("context").alias("contexts"))
+
+
 def predict(chain: DataFrame, k: int = 1) -> DataFrame:
     """The k likeliest next tokens of every context, with their probability; ties to the smaller token."""
     p = F.col("n") / F.sum("n").over(Window.partitionBy("context"))
@@ -42,11 +48,22 @@ def perplexity(docs: DataFrame, chain: DataFrame, order: int = 2, id_col: str =
     return both.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), value.alias("perplexity"))
 
 
-def generate(chain: DataFrame, seed: str, most: int = 50) -> list[str]:
-    """The argmax walk from a seed context; the best next token per context is looked up step by step."""
-    best = predict(chain, 1).select("context", "next")
+def completed_seed(begin: DataFrame, seed: str, order: int = 2) -> str | None:
+    """The most frequent start context that begins with the seed's tokens (ties to the smaller), for a seed shorter than
+    ``order``; the last ``order`` tokens of a longer one; null if no start fits."""
+    words = seed.lower().split()
+    if len(words) >= order:
+        return " ".join(words)
+    fits = begin if not words else begin.filter((F.col("context") == " ".join(words)) | F.startswith("context", F.lit(" ".join(words) + " ")))
+    row = fits.orderBy(F.desc("n"), F.asc("context")).select("context").first()
+    return row.context if row else None
+
+
+def generate(chain: DataFrame, seed: str, most: int = 50, order: int = 2) -> list[str]:
+    """The argmax walk from a seed, to ``most`` tokens or a dead end. The best successors are written once; each step
+    reads one row of them."""
+    best = cut(predict(chain, 1).select("context", "next").repartitionByRange("context").sortWithinPartitions("context"), "successors")
     words = seed.split(" ")
-    order = len(words)
     while len(words) < most:
         row = best.filter(F.col("context") == " ".join(words[-order:])).select("next").first()
         if row is None:

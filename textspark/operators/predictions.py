@@ -54,18 +54,15 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, by: str =
     )
 
 
-def nearest_rank(values: str, by: str, p: float) -> Column:
-    """Aggregate: the value at place round((n - 1) p) of the sorted values, halves away from zero."""
-    place = F.floor((F.count(values) - 1) * F.lit(p) + 0.5).cast("int")
-    return F.element_at(F.array_sort(F.collect_list(values)), place + 1)
-
-
 def nearest_ranks(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """nearest_rank for each of quantiles (name to p) in one pass of windows, without gathering a group."""
-    order = Window.partitionBy(by).orderBy(value)
-    placed = rows.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(by))})
-    at = {name: F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in quantiles.items()}
-    return placed.groupBy(by).agg(F.first("_n").alias("n"), *at.values())
+    """(by, n, one column a quantile): the value at place round((n - 1) p) of the sorted values, halves away from
+    zero. Equal values are counted first, so running sums go over distinct values, not over rows."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy(value))
+    placed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(Window.partitionBy(by))})
+    place = lambda p: F.floor((F.col("_n") - 1) * p + 0.5)
+    at = [F.min(F.when(F.col("_upto") > place(p), F.col(value))).alias(name) for name, p in quantiles.items()]
+    return placed.groupBy(by).agg(F.first("_n").alias("n"), *at)
 
 
 def sentiment(predictions: DataFrame, id_col: str = "doc_id", positive: tuple[str, ...] = ("positive", "pos"), negative: tuple[str, ...] = ("negative", "neg")) -> DataFrame:

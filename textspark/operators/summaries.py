@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from textspark.functions import patterns as P
 from textspark.functions import text as T
-from textspark.functions.segmentation import sentence_spans_udf
+from textspark.functions.segmentation import sentence_array
 from textspark.operators.lexical import ranked
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ordinal, sentence) of every document."""
-    spans = docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.posexplode(sentence_spans_udf(F.coalesce(text_col, F.lit("")))).alias("ordinal", "s"))
-    return spans.select(id_col, "ordinal", F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", abbreviations: tuple[str, ...] = (), collapse: bool = False) -> DataFrame:
+    """(id, ordinal, sentence) of every document; white space is collapsed on request."""
+    rows = docs.select(F.col(id_col), F.posexplode(sentence_array(F.coalesce(text_col, F.lit("")), abbreviations)).alias("ordinal", "sentence"))
+    return rows.withColumn("sentence", T.collapse_whitespace("sentence")) if collapse else rows
 
 
 def scored_sentences(docs: DataFrame, stop: Sequence[str] = P.STOP_EN, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,24 @@
-"""Vector operators over array<float> columns: cosine, exact top-k, kNN graph, pooling, softmax."""
+"""Vector operators over array<float> columns: cosine, exact top-k, kNN graph, pooling, softmax.
+
+All-pairs work is dealt into blocks of vectors whose number follows the data; a pair of blocks is one task with one
+matrix product, and what leaves it is cut to the pairs or the k best that are asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textspark.operators.lexical import ranked
 
 EPSILON = 1.1920929e-07
+#: Vectors in a block, about.
+BLOCK = 4_096
+#: Queries' numbers (vectors times dimension) up to which they are broadcast: 32 MB.
+MOST_BROADCAST = 4_000_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -32,34 +43,134 @@ def normalized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.withColumn("_u", F.transform(vector_col, lambda x: F.when(F.col("_n") > EPSILON, x / F.col("_n")).otherwise(0.0))).drop("_n")
 
 
+def _units(values: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a list column, zero where the norm vanishes or the vector is null."""
+    rows = [np.asarray(v if v is not None else [], float) for v in values.to_pylist()]
+    width = max((len(r) for r in rows), default=0)
+    x = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        x[i, : len(r)] = r
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > EPSILON)
+
+
+def _products(tasks: DataFrame, id_type: str, other_type: str, pick: Callable[[np.ndarray, pa.Array, pa.Array, bool], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b, score) of the pairs that ``pick`` takes from each task's cosines; tasks has i, j, second, left, right, v."""
+
+    def run(table: pa.Table) -> pa.Table:
+        second = np.array(table.column("second").to_pylist(), bool)
+        same = not second.any()
+        one = table.filter(pa.array(~second))
+        two = one if same else table.filter(pa.array(second))
+        x, y = _units(one.column("v")), _units(two.column("v"))
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
+        scores = np.round(x @ y.T, 6) + 0.0
+        left, right = one.column("left").combine_chunks(), two.column("left" if same else "right").combine_chunks()
+        rows, columns = pick(scores, left, right, same)
+        return pa.table({"a": left.take(pa.array(rows)), "b": right.take(pa.array(columns)), "score": scores[rows, columns]})
+
+    return tasks.groupBy("i", "j").applyInArrow(run, f"a {id_type}, b {other_type}, score double")  # two blocks a group
+
+
+def _blocks(rows: DataFrame, id_col: str) -> int:
+    return max(1, -(-rows.count() // BLOCK))
+
+
+def _self_tasks(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Every unordered pair of blocks of rows as one group."""
+    n = _blocks(rows, id_col)
+    own = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    dealt = rows.select(F.col(id_col).alias("left"), F.col(id_col).alias("right"), F.col(vector_col).alias("v"), own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_o"))
+    return dealt.select(F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).alias("second"), "left", "right", "v")
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's k best columns by score, then id; ``barred`` pairs are left out."""
+    rows, columns = [], []
+    for i, line in enumerate(scores):
+        if barred is not None:
+            line = np.where(barred[i], -np.inf, line)
+        at = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+        at = at[line[at] > -np.inf]
+        at = at[np.lexsort((ids[at], -line[at]))][:k]
+        rows.append(np.full(len(at), i))
+        columns.append(at)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, int), np.empty(0, int))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """The k vectors of highest cosine for each of a stated, small set of queries: (query_id, id, score, rank),
-    ties to the smaller id. Every vector is compared with every query, in the task that holds it; each task
-    keeps k per query before anything is shuffled."""
-    wanted = normalized(queries, query_id, query_vector).select(query_id, F.col("_u").alias("_q"))
-    asked = wanted.agg(F.collect_list(F.struct(query_id, "_q")).alias("_asked"))  # the stated queries, one row
-    rows = normalized(vectors, id_col, vector_col).join(F.broadcast(asked))
-    scored = rows.select(id_col, F.explode("_asked").alias("_a"), "_u").select(F.col(f"_a.{query_id}").alias(query_id), id_col, F.round(dot("_u", "_a._q"), 6).alias("score"))
-    return ranked(scored, [query_id], [F.desc("score"), F.asc(id_col)], k)
-
-
-def neighbour_pairs(vectors: DataFrame, threshold: float, blocks: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """All pairs (a, b, score), a < b, of at least threshold cosine. Vectors are dealt into blocks, and each
-    pair of blocks is one task, so memory is bounded; the work is quadratic, as the exact answer asks."""
-    unit = normalized(vectors, id_col, vector_col).select(F.col(id_col), "_u", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_b"))
-    one = unit.select(F.col(id_col).alias("a"), F.col("_u").alias("_ua"), F.col("_b").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j"))
-    two = unit.select(F.col(id_col).alias("b"), F.col("_u").alias("_ub"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_i"))
-    score = F.round(dot("_ua", "_ub"), 6)
-    return one.join(two, ["_i", "_j"]).filter("a < b").select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
-
-
-def knn_graph(pairs: DataFrame, k: int = 4, threshold: float = 0.25) -> DataFrame:
-    """Undirected edges (a, b, score): each vector's k best by score, then id, of at least threshold."""
-    both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    """The k vectors of highest cosine for each query: (query_id, id, score, rank), ties to the smaller id.
+
+    A query set whose size is counted and small is broadcast, and every task compares its vectors with all of it;
+    beyond that, blocks of queries meet blocks of vectors. Each task keeps k per query before the last shuffle."""
+    size = queries.agg(F.coalesce(F.sum(F.size(query_vector)), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
+        wanted = normalized(queries, query_id, query_vector).select(query_id, F.col("_u").alias("_q"))
+        asked = wanted.agg(F.collect_list(F.struct(query_id, "_q")).alias("_asked"))  # one row of at most MOST_BROADCAST numbers
+        rows = normalized(vectors, id_col, vector_col).join(F.broadcast(asked))
+        scored = rows.select(id_col, F.explode("_asked").alias("_a"), "_u").select(F.col(f"_a.{query_id}").alias(query_id), id_col, F.round(dot("_u", "_a._q"), 6).alias("score"))
+        return ranked(scored, [query_id], [F.desc("score"), F.asc(id_col)], k)
+    m, n = _blocks(queries, query_id), _blocks(vectors, id_col)
+    q_type, v_type = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    none = lambda kind: F.lit(None).cast(kind)
+    block = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    one = queries.select(block(query_id, m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(False).alias("second"), F.col(query_id).alias("left"), none(v_type).alias("right"), F.col(query_vector).alias("v"))
+    two = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), block(id_col, n).alias("j"), F.lit(True).alias("second"), none(q_type).alias("left"), F.col(id_col).alias("right"), F.col(vector_col).alias("v"))
+
+    def pick(scores: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        if same:  # queries met no vector
+            return np.empty(0, int), np.empty(0, int)
+        return _best(scores, np.array(right.to_pylist()), k)
+
+    hits = _products(one.unionByName(two), q_type, v_type, pick)
+    return ranked(hits.select(F.col("a").alias(query_id), F.col("b").alias(id_col), "score"), [query_id], [F.desc("score"), F.asc(id_col)], k)
+
+
+def neighbour_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """All pairs (a, b, score), a < b, of at least threshold cosine. The work is quadratic, as the exact answer
+    asks; each pair of blocks is compared once, and only its pairs leave the task."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def pick(scores: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        rows, columns = np.nonzero(scores >= threshold)
+        if same:
+            rows, columns = rows[rows < columns], columns[rows < columns]
+        return rows, columns
+
+    found = _products(_self_tasks(vectors, id_col, vector_col), kind, kind, pick)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+
+
+def knn_graph(vectors: DataFrame, k: int = 4, threshold: float = 0.25, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Undirected edges (a, b, score): each vector's k best by score, then id, of at least threshold. A task sends
+    k neighbours of each of its vectors, never all pairs."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def pick(scores: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        ids, others = np.array(left.to_pylist()), np.array(right.to_pylist())
+        rows, columns = _best(scores, others, k, np.eye(len(scores), dtype=bool) if same else None)
+        if not same:
+            back_columns, back_rows = _best(scores.T, ids, k)
+            both = np.unique(np.stack([np.append(rows, back_rows), np.append(columns, back_columns)]), axis=1)
+            rows, columns = both[0], both[1]
+        return rows, columns
+
+    pairs = _products(_self_tasks(vectors, id_col, vector_col), kind, kind, pick)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).distinct()
     near = ranked(both, ["a"], [F.desc("score"), F.asc("b")], k).filter(F.col("score") >= threshold)
     return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
+def compare_edges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row on two edge lists (a, b, score): shared, left_only, right_only, and the largest difference of score."""
+    both = left.select("a", "b", F.col("score").alias("_l")).join(right.select("a", "b", F.col("score").alias("_r")), ["a", "b"], "full_outer")
+    return both.agg(
+        F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("shared"), F.count_if(F.col("_r").isNull()).alias("left_only"),
+        F.count_if(F.col("_l").isNull()).alias("right_only"), F.coalesce(F.max(F.abs(F.col("_l") - F.col("_r"))), F.lit(0.0)).alias("max_delta"),
+    )
+
+
 def mean_vectors(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:
     """(by, dim, value, n): the mean of each dimension, combined map-side."""
     rows = vectors.select(by, F.posexplode(vector_col).alias("dim", "x"))
@@ -78,18 +189,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("bigint")
 
 
-def medoids(pairs: DataFrame, members: DataFrame, id_col: str = "vec_id", cluster: str = "label") -> DataFrame:
-    """(cluster, medoid, cohesion, n): the member of highest mean similarity to its cluster, ties to the smaller
-    id, and the mean over all pairs; a single member has cohesion 1."""
-    own = members.select(F.col(id_col), F.col(cluster))
-    sizes = own.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    a, b = own.toDF("a", cluster), own.toDF("b", "_other")
-    inside = pairs.join(a, "a").join(b, "b").filter(F.col(cluster) == F.col("_other")).select("a", "b", "score", cluster)
-    each = inside.select(F.col("a").alias(id_col), cluster, "score").unionByName(inside.select(F.col("b").alias(id_col), cluster, "score"))
-    totals = own.join(each.groupBy(id_col).agg(F.sum("score").alias("total")), id_col, "left").fillna(0.0, ["total"])
-    best = ranked(totals, [cluster], [F.desc(F.round("total", 4)), F.asc(id_col)], 1).select(cluster, F.col(id_col).alias("medoid"))
-    cohesion = inside.groupBy(cluster).agg(F.avg("score").alias("cohesion"))
-    return best.join(cohesion, cluster, "left").join(sizes, cluster).fillna(1.0, ["cohesion"])
+def medoids(members: DataFrame, id_col: str = "vec_id", cluster: str = "label", vector_col: str = "embedding") -> DataFrame:
+    """(cluster, medoid, cohesion, n): the member of highest mean cosine to the others of its cluster, ties (in
+    nine digits) to the smaller id, and the mean cosine over all pairs; a single member has cohesion 1.
+
+    No pair is formed: with unit vectors u and S their sum, a member's mean is (u.S - u.u) / (n - 1) and the
+    cohesion (S.S - sum of u.u) / (n (n - 1)). S is summed by dimension, combined map-side."""
+    unit = normalized(members, id_col, vector_col).select(F.col(id_col), F.col(cluster), "_u", dot("_u", "_u").alias("_own"))
+    dims = unit.select(cluster, F.posexplode("_u").alias("_d", "_x")).groupBy(cluster, "_d").agg(F.sum("_x").alias("_x"))
+    sums = dims.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda x: x["_x"]).alias("_s"))  # one vector a cluster
+    sizes = unit.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum("_own").alias("_own_all"))
+    known = sums.join(sizes, cluster).withColumn("cohesion", F.when(F.col("n") > 1, (dot("_s", "_s") - F.col("_own_all")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0))
+    placed = unit.join(known, cluster).withColumn("_mean", F.round((dot("_u", "_s") - F.col("_own")) / F.greatest(F.col("n") - 1, F.lit(1)), 9))
+    return placed.groupBy(cluster).agg(F.min(F.struct((-F.col("_mean")).alias("m"), F.col(id_col).alias("id"))).alias("_b"), F.first("cohesion").alias("cohesion"), F.first("n").alias("n")).select(cluster, F.col("_b.id").alias("medoid"), "cohesion", "n")
 
 
 def pooled(rows: DataFrame, vectors: str, how: str = "mean", mask: str | None = None) -> Column:
@@ -104,8 +216,33 @@ def pooled(rows: DataFrame, vectors: str, how: str = "mean", mask: str | None =
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
 
 
-def rows_by_vector(vectors: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Imported vectors for exact texts; a text without one raises when it is read."""
-    joined = texts.join(vectors, text_col, "left")
-    checked = F.when(F.col("vector").isNull(), F.raise_error(F.lit("no imported vector for a text"))).otherwise(F.col("vector"))
+def unit(vector: Column | str) -> Column:
+    """The vector over its norm; zeros if that vanishes."""
+    return F.transform(vector, lambda x: F.when(norm(vector) > EPSILON, x.cast("double") / norm(vector)).otherwise(0.0))
+
+
+def imported(vectors: DataFrame, text_col: str = "text", kind_col: str = "kind", vector_col: str = "vector") -> DataFrame:
+    """Imported vectors (text, kind, vector), unit length, one row a text and kind. An empty or zero vector, vectors
+    of several dimensions, and different vectors for one text and kind raise when the table is read."""
+    fail = lambda why: F.raise_error(F.lit(why)).cast("array<double>")
+    rows = vectors.groupBy(text_col, kind_col).agg(F.count_distinct(vector_col).alias("_n"), F.first(vector_col).alias(vector_col))
+    sizes = vectors.agg(F.min(F.size(vector_col)).alias("_low"), F.max(F.size(vector_col)).alias("_high"))
+    checked = (
+        F.when(F.col("_n") != 1, fail("a text has several vectors or none"))
+        .when(F.col("_low") != F.col("_high"), fail("vectors differ in dimension"))
+        .when(~(norm(vector_col) > EPSILON), fail("a vector is empty or zero"))
+        .otherwise(unit(vector_col))
+    )
+    return rows.join(F.broadcast(sizes)).select(text_col, kind_col, checked.alias(vector_col))  # one row
+
+
+def rows_by_vector(vectors: DataFrame, texts: DataFrame, text_col: str = "text", kind: str | None = None) -> DataFrame:
+    """Imported vectors for exact texts: those of the asked kind, else those of none; a text without one raises when
+    it is read. Vectors without a ``kind`` column are of none."""
+    if "kind" not in vectors.columns:
+        vectors = vectors.withColumn("kind", F.lit(None).cast("string"))
+    fits = vectors.filter(F.col("kind").isNull() | (F.col("kind") == F.lit(kind))) if kind is not None else vectors.filter("kind IS NULL")
+    best = fits.groupBy(text_col).agg(F.max_by("vector", F.col("kind").isNotNull().cast("int")).alias("vector"))
+    joined = texts.join(best, text_col, "left")
+    checked = F.when(F.col("vector").isNull(), F.raise_error(F.lit("no imported vector for a text")).cast(joined.schema["vector"].dataType)).otherwise(F.col("vector"))
     return joined.withColumn("vector", checked)

@@ -106,7 +106,7 @@ def sparse_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrence_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.related_terms(_table(spark, sf_dir, "documents")).filter("n >= 3").withColumn("score", F.round("score", 6))
+    return lexical.related_terms(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +190,9 @@ ORACLE_SQL = {
         s AS (SELECT doc_id, term, tf, df, round(tf / sum(tf) OVER (PARTITION BY doc_id) * (ln((n + 1) / (df + 1)) + 1), 6) AS score FROM post JOIN d USING (term), n),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tf DESC, term) AS rank FROM s) SELECT doc_id, rank::INT AS rank, term, tf, df, score FROM r WHERE rank <= 10""",
     "sparse_matrix": f"WITH {POSTINGS} SELECT doc_id, dense_rank() OVER (ORDER BY term) - 1 AS column, tf AS value FROM post",
-    "cooccurrence_related": f"""WITH {TOKENS}, c AS (SELECT term, count(*) AS n FROM tok GROUP BY ALL),
-        p AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS n FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND y.pos BETWEEN x.pos + 1 AND x.pos + 4 AND x.term <> y.term GROUP BY ALL)
-        SELECT a, b, p.n, round(p.n / sqrt(ca.n::DOUBLE * cb.n), 6) AS score FROM p JOIN c ca ON a = ca.term JOIN c cb ON b = cb.term WHERE p.n >= 3""",
+    "cooccurrence_related": f"""WITH {TOKENS}, c AS (SELECT term, count(*) AS n FROM tok GROUP BY ALL), l AS (SELECT list_transform(t, lambda x: lower(x)) AS t FROM toks),
+        w AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM l), p AS (SELECT t[i] AS x, unnest(t[i + 1:i + 4]) AS y FROM w), g AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p WHERE x <> y GROUP BY ALL)
+        SELECT a, b, g.n, round(g.n / sqrt(ca.n::DOUBLE * cb.n), 6) AS score FROM g JOIN c ca ON a = ca.term JOIN c cb ON b = cb.term""",
     "near_duplicates": "WITH " + _SHINGLES.format(id="doc_id", p=_quoted(P.TOKEN), table="documents") + """,
         z AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id),
         c AS (SELECT x.doc_id AS l, y.doc_id AS r, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)

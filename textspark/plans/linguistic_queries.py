@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 from textspark.functions import segmentation as S
 from textspark.functions import temporal
 from textspark.functions import text as T
-from textspark.operators import fuzzy, lexical, similarity, summaries
+from textspark.operators import fuzzy, lexical, similarity
 from textspark.plans.lexical_queries import _table
 
 
-def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.size(S.sentence_spans_udf(F.coalesce("text", F.lit("")))).cast("bigint").alias("sentences"))
-
-
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = similarity.shingle_sets(_table(spark, sf_dir, "documents"), 3)
     return sets.select("doc_id", F.lpad(F.lower(F.hex(S.simhash_udf("shingles"))), 16, "0").alias("simhash"))
@@ -29,21 +24,12 @@ def fuzzy_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.expand_terms(words, vocabulary)
 
 
-def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.paragraphs(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.md5("paragraph").alias("digest"))
-
-
-def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.summarize(_table(spark, sf_dir, "documents"))
-
-
 def temporal_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.explode(temporal.dates_udf("text")).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {f.__name__: f for f in (sentence_counts, simhashes, fuzzy_expansions, paragraph_chunks, extractive_summaries, temporal_expressions)}
+QUERIES = {f.__name__: f for f in (simhashes, fuzzy_expansions, temporal_expressions)}
 
 #: DuckDB measures edit distance in bytes and has no Unicode sentence rules; the tests hold these queries
 #: against brute force instead.

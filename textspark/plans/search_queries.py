@@ -64,12 +64,11 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.knn_graph(vectors.neighbour_pairs(_table(spark, sf_dir, "embeddings"), -1.0))
+    return vectors.knn_graph(_table(spark, sf_dir, "embeddings"))
 
 
 def label_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings")
-    return vectors.medoids(vectors.neighbour_pairs(rows, -1.0), rows).withColumn("cohesion", F.round("cohesion", 4))
+    return vectors.medoids(_table(spark, sf_dir, "embeddings")).withColumn("cohesion", F.round("cohesion", 4))
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +146,9 @@ ORACLE_SQL = {
     "cosine_pairs": f"WITH {_PAIRS} SELECT * FROM pairs WHERE score >= 0.25",
     "knn_graph": f"""WITH {_PAIRS}, b AS (SELECT a, b, score FROM pairs UNION ALL SELECT b, a, score FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM b)
         SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM r WHERE k <= 4 AND score >= 0.25 GROUP BY 1, 2""",
-    "label_medoids": f"""WITH {_PAIRS}, i AS (SELECT a, b, score, x.label FROM pairs JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE x.label = y.label),
-        t AS (SELECT vec_id, label, coalesce((SELECT sum(score) FROM i WHERE a = vec_id OR b = vec_id), 0) AS total FROM embeddings),
-        m AS (SELECT label, vec_id AS medoid FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(total, 4) DESC, vec_id) = 1)
+    "label_medoids": f"""WITH i AS (SELECT x.vec_id AS a, y.vec_id AS b, {_PAIR} AS score, x.label FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND x.label = y.label),
+        t AS (SELECT label, a, round(avg(score), 9) AS mean FROM i GROUP BY ALL UNION ALL SELECT label, min(vec_id), 0 FROM embeddings GROUP BY label HAVING count(*) = 1),
+        m AS (SELECT label, a AS medoid FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY mean DESC, a) = 1)
         SELECT label, medoid, round(coalesce((SELECT avg(score) FROM i WHERE i.label = m.label), 1.0), 4) AS cohesion, (SELECT count(*) FROM embeddings e WHERE e.label = m.label) AS n FROM m""",
     "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim::INT AS dim, round(avg(x), 6) AS value, count(*) AS n FROM x GROUP BY ALL",
     "softmax_scores": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM x)
