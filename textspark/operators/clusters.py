@@ -1,4 +1,4 @@
-"""Average-link clustering of units within one group (a document, a conversation)."""
+"""Average-link clustering of units within one group (a document, a conversation, a corpus)."""
 
 from __future__ import annotations
 
@@ -6,32 +6,58 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: The similarity matrix of a group is held in memory; larger groups raise.
-MOST_UNITS = 4_000
+EPSILON = 1.1920929e-07
+#: Rows of a block of similarities that is looked at at a time.
+BLOCK = 2_048
 
 
 def average_link(vectors: np.ndarray, threshold: float = 0.6) -> np.ndarray:
     """Cluster numbers in order of first members: the most similar two clusters merge while their mean
-    similarity is at least threshold; of equal ones those with the lowest first members."""
+    similarity is at least threshold; of equal ones (in nine digits) those with the lowest first members.
+
+    The mean cosine of two clusters is the product of their members' unit vectors' sums over both sizes, so
+    memory is that of the vectors: every cluster keeps its best partner behind it, and a merge looks again only
+    where that partner was one of the two, or the merged cluster is better. Groups of any size cluster; the work
+    grows with the square of the group."""
     n = len(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 1.1920929e-07)
-    mean = unit @ unit.T
-    mean[np.tril_indices(n)] = -np.inf
+    total = np.divide(vectors, norms, out=np.zeros_like(vectors, float), where=norms > EPSILON)
     size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
-    while alive.sum() > 1:
-        at = int(np.argmax(mean))  # the first of equal ones: lowest left, then right
-        a, b = divmod(at, n)
-        if mean[a, b] < threshold:
+    best, partner = np.full(n, -np.inf), np.full(n, n)
+
+    def look(rows: np.ndarray) -> None:
+        """The best partner behind each of rows: highest mean, then lowest place."""
+        for lo in range(0, len(rows), BLOCK):
+            part = rows[lo : lo + BLOCK]
+            first = int(part.min()) + 1
+            columns = first + np.flatnonzero(alive[first:])
+            if not len(columns):
+                best[part], partner[part] = -np.inf, n
+                continue
+            mean = np.round(total[part] @ total[columns].T / (size[part][:, None] * size[columns]), 9)
+            mean[columns[None, :] <= part[:, None]] = -np.inf
+            at = mean.argmax(1)
+            best[part] = mean[np.arange(len(part)), at]
+            partner[part] = np.where(best[part] > -np.inf, columns[at], n)
+
+    look(np.arange(n))
+    while n and alive.sum() > 1:
+        a = int(np.argmax(np.where(alive, best, -np.inf)))  # the first of equal ones: lowest left, then right
+        if best[a] < threshold:
             break
-        for c in np.flatnonzero(alive):
-            if c not in (a, b):
-                ca, cb = mean[min(a, c), max(a, c)], mean[min(b, c), max(b, c)]
-                mean[min(a, c), max(a, c)] = (size[a] * ca + size[b] * cb) / (size[a] + size[b])
+        b = int(partner[a])
+        total[a] += total[b]
         size[a] += size[b]
-        alive[b] = False
-        mean[b, :] = mean[:, b] = -np.inf
+        alive[b], best[b] = False, -np.inf
         label[label == b] = a
+        stale = np.flatnonzero(alive & ((partner == a) | (partner == b)))
+        look(np.union1d(stale, [a]))
+        before = np.flatnonzero(alive[:a])
+        before = before[~np.isin(before, stale)]
+        if len(before):
+            mean = np.round(total[before] @ total[a] / (size[before] * size[a]), 9)
+            wins = (mean > best[before]) | ((mean == best[before]) & (a < partner[before]))
+            best[before[wins]], partner[before[wins]] = mean[wins], a
     return pd.factorize(label)[0]
 
 
@@ -39,8 +65,6 @@ def cluster_units(units: DataFrame, by: str, seq: str, vector: str, threshold: f
     """(by, seq, cluster) for each group of units, clustered on its own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_UNITS:
-            raise ValueError(f"a group has more than {MOST_UNITS} units")
         rows = rows.sort_values(seq)
         found = average_link(np.array(rows[vector].tolist(), float), threshold)
         return pd.DataFrame({by: rows[by], seq: rows[seq], "cluster": found})
