@@ -487,3 +487,14 @@ def test_salvage_covers_every_byte_of_damaged_archives(seed):
         assert x.start == at and x.end >= x.start
         at = x.end
     assert at == len(data) and sum(isinstance(x, warc.Record) for x in items) >= 40
+
+
+def test_salvage_of_long_records_between_others():
+    rng = np.random.default_rng(0)
+    sizes = [10, 70_000, 500, 300_000, 65_536, 1, 1_000_000]
+    blocks = [f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\n".encode() + bytes(rng.integers(97, 100, n, dtype=np.uint8)) + b"\r\n\r\n" for n in sizes]
+    data = b"".join(map(gzip.compress, blocks))
+    items = list(warc.salvage(data))
+    assert [len(x.payload) for x in items] == sizes and items[-1].end == len(data)
+    assert all(a.end == b.start for a, b in zip(items, items[1:], strict=False))
+    assert [len(x.payload) for x in warc.salvage(gzip.compress(b"".join(blocks)))] == sizes

@@ -194,7 +194,7 @@ def _unpacked(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
             raise Broken("broken member") from e
         if not out and not len(piece) and not unpack.eof:
             raise Broken("member is cut off")
-        yield out, fed - len(unpack.unconsumed_tail) - len(unpack.unused_data), unpack.eof
+        yield out, fed - len(unpack.unused_data if unpack.eof else unpack.unconsumed_tail), unpack.eof  # at the end both hold the rest
 
 
 def _member(data: bytes, at: int) -> Iterator[Record | Gap | int]:
