@@ -70,3 +70,93 @@ def sentiment(predictions: DataFrame, id_col: str = "doc_id", positive: tuple[st
     best = lambda names: F.coalesce(F.max(F.when(F.lower("label").isin(*names), F.col("score"))), F.lit(0.0))
     rows = predictions.groupBy(id_col).agg(best(positive).alias("positive"), best(negative).alias("negative"))
     return rows.withColumn("compound", F.col("positive") - F.col("negative"))
+
+
+TEMPLATE = "This example is about {}."
+NLI = ("entailment", "neutral", "contradiction")
+
+
+def hypotheses(labels: list[str], template: str = TEMPLATE) -> list[str]:
+    if not labels:
+        raise ValueError("a zero-shot request has at least one label")
+    return [template.replace("{}", label) for label in labels]
+
+
+def zero_shot(predictions: DataFrame | None, labels: list[str], k: int = 3, template: str = TEMPLATE, normalize: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """(id, label, score, hypothesis, rank) from imported scores of the labels; with ``normalize``, as for a backend's
+    raw scores, each document's scores are divided by their sum."""
+    if predictions is None:
+        raise MissingModel("zero-shot classification needs imported predictions")
+    texts = dict(zip(labels, hypotheses(labels, template), strict=True))
+    rows = predictions.filter(F.col("label").isin(*labels))
+    if normalize:
+        total = F.sum("score").over(Window.partitionBy(id_col))
+        rows = rows.withColumn("score", F.when(total > 1.1920929e-07, F.col("score") / total).otherwise(F.col("score")))
+    named = F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))
+    return classify(rows, k, id_col).withColumn("hypothesis", named[F.col("label")])
+
+
+def _softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp(x - top))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def decode_sequence(logits: DataFrame, labels: list[str], k: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """(id, label, score, rank) from rows of logits (id, logits): the softmax's k best labels."""
+    names = F.array(*map(F.lit, labels))
+    pairs = F.arrays_zip(_softmax(F.col("logits")).alias("score"), names.alias("label"))
+    rows = logits.select(id_col, F.inline(pairs)).select(id_col, "label", "score")
+    return classify(rows, k, id_col)
+
+
+def entailment_score(logits: Column, entailment: int, contradiction: int | None = None) -> Column:
+    """The softmax share of entailment, against contradiction alone where its place is given."""
+    if contradiction is None:
+        return F.get(_softmax(logits), F.lit(entailment))
+    pair = F.array(F.get(logits, F.lit(contradiction)), F.get(logits, F.lit(entailment)))
+    return F.get(_softmax(pair), F.lit(1))
+
+
+def decode_nli(logits: DataFrame, labels: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(id, label, entailment, neutral, contradiction) from three-way logits. labels name the three in the logits' order,
+    else ValueError; of equal shares entailment counts first, then contradiction. Logits that are not three
+    finite numbers give nulls."""
+    order = [x.strip().lower() for x in labels]
+    if sorted(order) != sorted(NLI):
+        raise ValueError(f"labels name each of {NLI} once")
+    sound = (F.size("logits") == 3) & F.forall("logits", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
+    shares = F.when(sound, _softmax(F.col("logits")))
+    rows = logits.select(id_col, *(F.get(shares, F.lit(order.index(n))).alias(n) for n in NLI))
+    e, n, c = (F.col(x) for x in NLI)
+    return rows.withColumn("label", F.when((e >= n) & (e >= c), "entailment").when(c >= n, "contradiction").when(e.isNotNull(), "neutral"))
+
+
+def token_predictions(logits: DataFrame, labels: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, label, score, start, end) from token logits (id, pos, logits, start, end): the softmax's best label,
+    the first of equal ones."""
+    shares = _softmax(F.col("logits"))
+    best = F.array_max(shares)
+    names = F.array(*map(F.lit, labels))
+    return logits.select(id_col, "pos", F.element_at(names, F.array_position(shares, best).cast("int")).alias("label"), best.alias("score"), "start", "end")
+
+
+def normalized_scores(predictions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    total = F.sum("score").over(Window.partitionBy(id_col))
+    return predictions.withColumn("score", F.when(total > 1.1920929e-07, F.col("score") / total).otherwise(F.col("score")))
+
+
+# Models whose predictions can be imported, by task.
+CATALOG = (
+    ("classification", "sequence classifier", "labels and scores"),
+    ("zero-shot", "NLI pair classifier", "entailment logits"),
+    ("token-classification", "token classifier", "piece labels with offsets"),
+    ("question-answering", "extractive reader", "start and end logits"),
+    ("embedding", "sentence embedder", "vectors by text"),
+    ("syntax", "dependency parser", "words with heads, relations and features"),
+)
+
+
+def catalog(spark) -> DataFrame:
+    """(task, model, imports): what each task imports, as no model runs here."""
+    return spark.createDataFrame(list(CATALOG), "task string, model string, imports string")
