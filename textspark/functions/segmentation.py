@@ -74,8 +74,8 @@ def sentence_array(text: Column | str, abbreviations: tuple[str, ...] = ()) -> C
     rules = [
         rf"(?![{TERMINATORS}])",  # the last of several
         r"(?!(?<=[0-9]\.)[0-9])",  # no decimal point
-        rf"(?!(?<={fresh}(?i:{words})\.{{1,4}})(?!\p{{L}}))",  # behind an abbreviation
-        rf"(?!(?<={fresh}[A-Z]\.{{1,4}})(?!\p{{L}}))",  # behind a single capital
+        rf"(?!(?<={fresh}(?i:{words})\.{{1,20}})(?!\p{{L}}))",  # behind an abbreviation
+        rf"(?!(?<={fresh}[A-Z]\.{{1,20}})(?!\p{{L}}))",  # behind a single capital
     ]
     for x in known:  # a dot inside an abbreviation
         for k, c in enumerate(x):

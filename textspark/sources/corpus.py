@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textspark.functions import text as T
 from textspark.operators.lexical import corpus_term_stats
 
 
@@ -16,10 +17,14 @@ def from_texts(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
 
 
 def validated(docs: DataFrame, id_col: str = "id") -> DataFrame:
-    """docs, raising when read if an id is blank; violations() finds repeated ones."""
+    """docs, raising when read if an id is blank or borne by several rows; violations() finds the latter."""
+    kind = docs.schema[id_col].dataType
+    own = Window.partitionBy(id_col)
+    rows = docs.withColumn("_rows", F.count(F.lit(1)).over(own))
     blank = F.col(id_col).isNull() | (F.trim(F.col(id_col).cast("string")) == "")
-    checked = F.when(blank, F.raise_error(F.lit("a document id is blank")).cast(docs.schema[id_col].dataType)).otherwise(F.col(id_col))
-    return docs.withColumn(id_col, checked)
+    fail = lambda why: F.raise_error(F.lit(why)).cast(kind)
+    checked = F.when(blank, fail("a document id is blank")).when(F.col("_rows") > 1, fail("a document id is not unique")).otherwise(F.col(id_col))
+    return rows.withColumn(id_col, checked).drop("_rows")
 
 
 def violations(docs: DataFrame, id_col: str = "id") -> DataFrame:
@@ -39,10 +44,40 @@ def upsert(docs: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame
     return docs.join(changes.select(id_col), id_col, "left_anti").unionByName(changes)
 
 
-def removed(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+def added(docs: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+    """docs and new rows; raises if one's id is there already."""
+    if new.join(docs, id_col, "left_semi").limit(1).count():
+        raise ValueError("a document with that id is there already")
+    return docs.unionByName(new)
+
+
+def replaced(docs: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
+    """docs with changes' rows in place of those with their ids; raises if one is missing."""
+    if changes.join(docs, id_col, "left_anti").limit(1).count():
+        raise ValueError("a document to replace is not there")
+    return upsert(docs, changes, id_col)
+
+
+def removed(docs: DataFrame, ids: DataFrame, id_col: str = "id", strict: bool = False) -> DataFrame:
+    """docs without those ids; with ``strict`` a missing one raises."""
+    if strict and ids.join(docs, id_col, "left_anti").limit(1).count():
+        raise ValueError("a document to remove is not there")
     return docs.join(ids.select(id_col), id_col, "left_anti")
 
 
+def by_id(docs: DataFrame, value: str, id_col: str = "id") -> DataFrame:
+    return docs.filter(F.col(id_col) == value)
+
+
+def document_count(docs: DataFrame, term: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """One row: in how many documents a normalized term stands."""
+    return docs.agg(F.count_if(F.array_contains(T.words_array(text_col), term)).alias("n"))
+
+
+def is_empty(docs: DataFrame) -> bool:
+    return docs.isEmpty()
+
+
 def save_snapshot(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
     """Documents and their term statistics, as two tables under path."""
     docs.write.parquet(f"{path}/documents")

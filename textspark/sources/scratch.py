@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is configured."""
+    """spark.checkpoint.dir; a temporary folder only where none is configured and all tasks run in the driver's own
+    process. On a cluster without one, tables would be written to each executor's own disk, so it raises."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="textspark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
