@@ -106,6 +106,17 @@ ORACLE_SQL = {
         e AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM c), n AS (SELECT r, count(*) AS n, count(*) FILTER (before IS NULL OR before < p - 1) AS spans FROM e GROUP BY r)
         SELECT doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(spans, 0) AS n_spans FROM w LEFT JOIN k USING (r) LEFT JOIN n USING (r)
     """,
+    "op5_ngram_jaccard_join": f"""
+        WITH RECURSIVE {_LIST.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+        q AS (SELECT DISTINCT doc_id, t FROM w), g AS (SELECT DISTINCT doc_id, md5(array_to_string(t[i:i + 4], ' ')) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM q WHERE len(t) > 0)),
+        z AS (SELECT doc_id, list(g ORDER BY g) AS s, count(*) AS n FROM g GROUP BY doc_id), cl AS (SELECT min(doc_id) AS c, s, n FROM z GROUP BY s, n), cg AS (SELECT c, n, unnest(s) AS g FROM cl),
+        f AS (SELECT g FROM cg GROUP BY g HAVING count(*) > 1), o AS (SELECT cg.c, n, g, row_number() OVER (PARTITION BY cg.c ORDER BY d, g) AS k FROM cg JOIN (SELECT g, count(*) AS d FROM cg GROUP BY g) USING (g)),
+        pf AS (SELECT c, n, g FROM o SEMI JOIN f USING (g) WHERE k <= n - (75 * n + 99) // 100 + 1), pr AS (SELECT DISTINCT x.c AS a, y.c AS b FROM pf x JOIN pf y ON x.g = y.g AND x.c < y.c AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)),
+        sz AS (SELECT c, n, s FROM cl), lk AS (SELECT a, b FROM (SELECT a, b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS i FROM pr JOIN sz x ON a = x.c JOIN sz y ON b = y.c) WHERE 100 * i >= 75 * (na + nb - i)),
+        both_ways AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT c AS a, c AS b FROM cl UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a), root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
+        tx AS (SELECT cl.c, count(DISTINCT d.text) AS k FROM documents d JOIN z USING (doc_id) JOIN cl ON z.s = cl.s GROUP BY cl.c), nl AS (SELECT x.c, (any_value(x.k) - 1 + coalesce(sum(y.k), 0))::BIGINT AS n_links FROM tx x LEFT JOIN both_ways e ON e.a = x.c LEFT JOIN tx y ON y.c = e.b GROUP BY x.c)
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id, coalesce(nl.n_links, 0) AS n_links FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN cl ON z.s = cl.s LEFT JOIN root ON cl.c = root.c LEFT JOIN nl ON cl.c = nl.c
+    """,
     "op6_warc_salvage": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
         SELECT page_id, strlen(p.h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m OR m IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN g ON p.h = g.h
