@@ -7,15 +7,16 @@ passages. The graph is built as large assemblers build it:
 1. Each text is cut into super-k-mers, runs of consecutive edges with one minimiser (the least hash of
    their m-word windows), so equal edges have equal minimisers wherever they stand. A map task first
    counts edges among its own texts, so a passage that a third of all texts share leaves it once a batch.
-2. Super-k-mers go to the bucket of their minimiser as packed arrays, six bytes an edge. In a bucket,
-   edges are equal if minimiser and edge hash are (112 bits); an edge that came from two source
+2. Super-k-mers go to the bucket of their minimiser as packed arrays, eight bytes an edge. In a bucket,
+   edges are equal if minimiser and edge hash are, 64 bits each, so that edges around a common phrase, which
+   share its minimiser, are still told apart by 64 bits; an edge that came from two source
    coordinates or more is repeated. Consecutive repeated edges of a super-k-mer whose counts agree share
    a nonbranching node and compact into one path: its text, start and length.
 3. A Spark join on the text brings its paths together; paths that meet or overlap in source coordinates
    compact into spans, and the words under them are removed.
 
 Texts that occur more than once are worked on once, and all their edges are repeated. What is shuffled is
-about 8 bytes a word, and the texts once, for the removal.
+about 10 bytes a word, and the texts once, for the removal.
 """
 
 from __future__ import annotations
@@ -52,16 +53,6 @@ def runs_of(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(breaks)))
 
 
-def _six(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def graph_batch(texts: list[str], k1: np.ndarray, k2: np.ndarray, k: int, buckets: int, hashes: W.HashCache) -> Iterator[tuple[int, bytes]]:
     """Packed (bucket, blob) of the batch's super-k-mers; bucket -1 - b: paths that are known already."""
     found = [W.WORDS.findall(t) for t in texts]
@@ -76,7 +67,7 @@ def graph_batch(texts: list[str], k1: np.ndarray, k2: np.ndarray, k: int, bucket
     owner = np.repeat(np.arange(len(keep), dtype=np.int32), sizes)
     m = min(MINIMISER_WORDS, k)
     at = np.flatnonzero(owner[: len(a) - k + 1] == owner[k - 1 :])  # windows inside one text
-    edge = (W.windows(a, k)[at]) & np.uint64((1 << 48) - 1)
+    edge = W.windows(a, k)[at]
     anchor = sliding_min(W.windows(a, m), k - m + 1)[at]
     text, place = owner[at], (at - first_word[owner[at]]).astype(np.int32)
     # edges of this batch, each once
@@ -115,7 +106,7 @@ def graph_batch(texts: list[str], k1: np.ndarray, k2: np.ndarray, k: int, bucket
                 place[starts[part]].astype("<i4").tobytes(),
                 n[part].astype("<i4").tobytes(),
                 anchor[starts[part]].tobytes(),
-                _six(sorted_edges[edge_at : edge_at + n_edges]),
+                sorted_edges[edge_at : edge_at + n_edges].tobytes(),
             )
         )
         edge_at += n_edges
@@ -140,11 +131,11 @@ def bucket_paths(blobs: list[bytes]) -> Iterator[np.ndarray]:
         place.append(ints[1])
         n.append(ints[2])
         anchor.append(np.frombuffer(blob, "<u8", runs, at))
-        edge.append(_from_six(np.frombuffer(blob, np.uint8, 6 * edges, at + 8 * runs)))
+        edge.append(np.frombuffer(blob, "<u8", edges, at + 8 * runs))
     k1, k2, place, n, anchor, edge = map(np.concatenate, (k1, k2, place, n, anchor, edge))
     run = np.repeat(np.arange(len(n), dtype=np.int32), n)
     anchors = anchor[run]
-    order = np.argsort(edge ^ (anchors << np.uint64(48)), kind="stable")
+    order = np.argsort(edge, kind="stable")  # equal edges of different minimisers are not to be expected, and are told apart below
     s_edge, s_anchor = edge[order], anchors[order]
     fresh = np.concatenate(([True], (s_edge[1:] != s_edge[:-1]) | (s_anchor[1:] != s_anchor[:-1])))
     _, count = runs_of(fresh)
@@ -214,8 +205,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated window covers, joined by a space each.
 
     Windows are judged on the input. A null text is empty: no words, nothing removed. Texts of fewer than k
-    words lose nothing, however often they repeat; rows that repeat a text lose all words of a longer one.
-    Equal and null ids keep their own rows; an empty table gives an empty result; other columns of the input
+    words lose nothing, however often they repeat; rows that repeat a text lose all words of a longer one. Long
+    texts are cut whole; there are no ties, as every occurrence goes. Equal and null ids keep their own rows; an
+    empty table gives an empty result with the same columns; other columns of the input, whatever their names,
     are not looked at.
     """
     buckets = buckets or max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
