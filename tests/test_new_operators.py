@@ -254,3 +254,23 @@ def test_operations_are_described_and_checked():
     assert "top_k" in names["index/index.fuzzySearch"]["parameters"] and len(names) > 50
     with pytest.raises(ValueError, match="no option"):
         operations.validate("lexical/lexical.keywords", {"nonsense": 1})
+
+
+def test_dates_by_family():
+    from textspark.functions.temporal import dates
+
+    def first(text):
+        found = dates(text)
+        return (found[0].start_year, found[0].end_year, found[0].month, found[0].day) if found else None
+
+    cases = {
+        "the charter of 9 Feb 1288 survives": (1288, 1288, 2, 9), "on June 3, 12 BC they met": (-12, -12, 6, 3), "since Oktober 1733": (1733, 1733, 10, None), "May 12 was dry": None,
+        "between 1640 and 1655": (1640, 1655, None, None), "the siege of 1701-04": (1701, 1704, None, None), "from 80 BC to 60 BC": (-80, -60, None, None), "pages 1640 and 1655": None,
+        "a fourteenth century mill": (1301, 1400, None, None), "im frühen 12. Jahrhundert": (1101, 1133, None, None), "late 3rd century BC": (-234, -201, None, None),
+        "the early 1870s": (1870, 1873, None, None), "2000s of people": None, "in the year 455": (455, 455, None, None), "by 1499": (1499, 1499, None, None), "room 1499": None, "in 1500 people": None,
+        "the 1812 timestamp in 1812": None, "AD 79": (79, 79, None, None), "a tally of 1450": None,
+    }
+    for text, want in cases.items():
+        assert first(text) == want, text
+    said = dates("It was probably not around 1602.")[0]
+    assert (said.certainty, said.polarity, said.approximate) == ("hedged", "denies", True)
