@@ -53,16 +53,17 @@ def _phi(z: Column) -> Column:
 
     The upper tail Q(|z|) is the density times a polynomial up to |z| = 3 and a continued fraction of
     Mills' ratio beyond, where an error that is small only in absolute terms would be larger than Q."""
-    x = F.least(F.abs(z), F.lit(14.0))
-    t = 1 / (1 + 0.2316419 * x)
-    near = F.lit(0.0)
-    for c in _TAIL:
-        near = (near + c) * t
-    far = x
-    for k in range(8, 0, -1):
-        far = x + k / far
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * F.when(x < 3, near).otherwise(1 / far)
-    return F.when(z < 0, tail).otherwise(1 - tail)
+
+    def upper(x: Column) -> Column:
+        near, far = F.lit(0.0), x
+        for c in _TAIL:
+            near = (near + c) / (1 + 0.2316419 * x)
+        for k in range(8, 0, -1):
+            far = x + k / far
+        return F.exp(-x * x / 2) * 0.3989422804014327 * F.when(x < 3, near).otherwise(1 / far)
+
+    one = F.transform(F.array(z), lambda v: F.struct(v.alias("z"), F.least(F.abs(v), F.lit(14.0)).alias("x")))  # bound once, used often
+    return F.get(F.transform(one, lambda v: F.when(v["z"] < 0, upper(v["x"])).otherwise(1 - upper(v["x"]))), F.lit(0))
 
 
 def battery(token: Column) -> Column:
