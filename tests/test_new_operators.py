@@ -274,3 +274,44 @@ def test_dates_by_family():
         assert first(text) == want, text
     said = dates("It was probably not around 1602.")[0]
     assert (said.certainty, said.polarity, said.approximate) == ("hedged", "denies", True)
+
+
+def test_caseless_spans_in_the_source(spark):
+    from textspark.functions import spans
+
+    rows = spark.createDataFrame([("xİSTANBUL y", "stan"), ("aΣ", "ς"), ("abc", ""), (None, "a"), ("éA", "a")], "t string, n string")
+    found = [tuple(r.x) if r.x.start is not None else None for r in rows.select(spans.find_caseless_span(F.col("t"), F.col("n")).alias("x")).collect()]
+    assert found == [(2, 6, 3, 7), (1, 2, 1, 3), None, None, (1, 2, 2, 3)]
+
+
+def test_semantic_corpus_and_senses(spark):
+    from textspark.operators import semantic
+
+    items = spark.createDataFrame([("i1", " ann ", "bank of a river. The bank lends."), ("i2", "bo", "My bank lends money."), ("i3", None, "Nothing here.")], "item_id string, author string, text string")
+    found = semantic.word_occurrences(items, "Bank")
+    assert {(r.unit_id, r.author) for r in found.collect()} == {("i1:word-context:0", "ann"), ("i1:word-context:1", "ann"), ("i2:word-context:0", "bo")}
+    with pytest.raises(ValueError, match="one token"):
+        semantic.word_occurrences(items, "two words")
+    known = spark.createDataFrame([("bank of a river.", [1.0, 0.0]), ("The bank lends.", [0.0, 1.0]), ("My bank lends money.", [0.1, 1.0])], "text string, vector array<double>")
+    senses = {r.cluster_id: (r.occurrences, r.sources, r.authors, r.representative_unit) for r in semantic.word_senses(found, known).collect()}
+    assert senses == {"concept-1": (1, 1, 1, "i1:word-context:0"), "concept-2": (2, 2, 2, "i1:word-context:1")}
+    units = found.join(known, "text").select("unit_id", "source_id", F.col("author").alias("speaker"), F.xxhash64("unit_id").alias("sequence_index"), "text", "vector")
+    parts = semantic.corpus_semantics(items, units)
+    assert parts["lexical"].first().item_count == 3 and parts["authors"].count() == 2
+    evidence = parts["concepts"].first()
+    assert (evidence.members, evidence.sources, evidence.authors) == (2, 2, 2) and evidence.key_terms == ["money", "my", "the", "lends"]
+    assert parts["non_concept"].first().units == 1
+    named = semantic.interpreted(parts["concepts"], lambda b: b.assign(label="money", confidence=0.5))
+    assert named.count() == 1
+    with pytest.raises(Exception, match="0 to 1"):
+        semantic.interpreted(parts["concepts"].drop("label"), lambda b: b.assign(label="x", confidence=2.0)).collect()
+
+
+def test_reports_have_their_sections(spark):
+    from textspark.operators import reports
+
+    docs = spark.createDataFrame([(1, "Cats chase mice daily. Cats and mice play well. Mice fear cats greatly."), (2, None)], "doc_id int, text string")
+    parts = reports.document_report(docs)
+    assert {name: rows.count() for name, rows in parts.items() if name in ("core", "script", "extract", "diagnostics")} == {"core": 2, "script": 2, "extract": 1, "diagnostics": 6}
+    whole = reports.corpus_report(docs, spark.createDataFrame([(1, "cats")], "query_id int, query string"))
+    assert whole["bm25"].count() == 1 and whole["near_duplicates"].count() == 0 and whole["stats"].first().documents == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,30 @@ def find_caseless(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, F.nullif(F.position(_folded(needle), low), F.lit(0)) - 1)
 
 
+def _caseless(texts: pd.Series, needles: pd.Series) -> pd.DataFrame:
+    low = lambda c: c.lower().replace("ς", "σ")
+    rows = []
+    for text, needle in zip(texts, needles, strict=True):
+        wanted = low(needle or "")
+        pieces = [low(c) for c in text or ""]
+        at = "".join(pieces).find(wanted) if wanted else -1
+        if at < 0:
+            rows.append((None, None, None, None))
+            continue
+        owner = [i for i, piece in enumerate(pieces) for _ in piece]  # the source character of each folded one
+        start, end = owner[at], owner[at + len(wanted) - 1] + 1
+        before = len(text[:start].encode())
+        rows.append((start, end, before, before + len(text[start:end].encode())))
+    return pd.DataFrame(rows, columns=["start", "end", "byte_start", "byte_end"]).astype("Int64")
+
+
+def find_caseless_span(text: Column, needle: Column) -> Column:
+    """struct(start, end, byte_start, byte_end) of the first match regardless of case in the source text, null without
+    one. Characters are folded one by one, and a match takes in whole source characters, also where the lower
+    case of one is several."""
+    return F.pandas_udf(_caseless, "start bigint, end bigint, byte_start bigint, byte_end bigint")(text, needle)
+
+
 def softened(text: Column | str) -> Column:
     """Sentence-initial capital, the rest as it is."""
     c = F.col(text) if isinstance(text, str) else text

@@ -55,6 +55,14 @@ def subword_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "pos").agg(F.min("subword").alias("first"), F.count(F.lit(1)).alias("pieces"))
 
 
+def caseless_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 'THE' of each document in the source's code points and bytes."""
+    from textspark.functions import spans
+
+    rows = _docs(spark, sf_dir).select("doc_id", spans.find_caseless_span(F.col("text"), F.lit("THE")).alias("x"))
+    return rows.filter("x.start IS NOT NULL").select("doc_id", "x.start", "x.end", "x.byte_start")
+
+
 def contraction_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents, and some that have clitics, in the document's language."""
     rows = T.tokens(_docs(spark, sf_dir)).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").select("lang", "token")
@@ -291,7 +299,7 @@ def xquad_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_spans, token_sentences, annotation_graph, subword_alignment, contraction_splits, phrase_chunks, syntax_violations, feature_maps, label_codecs, language_decisions, sentence_routing,
+        token_spans, token_sentences, annotation_graph, subword_alignment, caseless_spans, contraction_splits, phrase_chunks, syntax_violations, feature_maps, label_codecs, language_decisions, sentence_routing,
         language_profiles, innermost_containers, nli_decisions, decoded_sequences, token_predictions, entailment_scores, zero_shot_labels, sentiment_scores, synthesized_texts, event_terms,
         analysis_terms, imported_answers, answered_batch, index_answers, evaluation_accuracy, evaluation_correlation, boundary_scores, entity_scores, metric_gates, recall_at_one, conllu_words,
         syntax_scores, iob_tokens, xquad_questions,
@@ -318,6 +326,7 @@ ORACLE_SQL = {
     "annotation_graph": f"""WITH {_SPANS}, {_SSP}, n AS (SELECT doc_id, count(*) AS n FROM ts GROUP BY ALL), x AS (SELECT ts.doc_id, pos, min(ordinal) AS o FROM ts LEFT JOIN sspan ON ts.doc_id = sspan.doc_id AND start >= s AND "end" <= z GROUP BY ALL)
         SELECT doc_id, coalesce(o, 0) + n AS sentence_id, count(*) AS tokens, min(pos) AS first FROM x JOIN n USING (doc_id) GROUP BY ALL""",
     "subword_alignment": f"""WITH {_SPANS}, p AS (SELECT doc_id, l, unnest(range(0, greatest(ceil(l / 8), 1)::BIGINT)) AS k FROM (SELECT doc_id, length(text) AS l FROM documents)) SELECT p.doc_id, pos, min(k) AS first, count(*) AS pieces FROM p JOIN ts ON p.doc_id = ts.doc_id AND k * 8 < "end" AND start < least(k * 8 + 8, l) AND k * 8 < l GROUP BY ALL""",
+    "caseless_spans": "WITH x AS (SELECT doc_id, text, strpos(lower(text), 'the') - 1 AS s FROM documents) SELECT doc_id, s AS start, s + 3 AS \"end\", strlen(substring(text, 1, s)) AS byte_start FROM x WHERE s >= 0",
     "contraction_splits": f"""WITH {TOKENS}, x AS (SELECT DISTINCT lang, token FROM tok JOIN documents USING (doc_id) UNION SELECT * FROM (VALUES ('en', 'Don''t'), ('en', 'CANNOT'), ('en', 'we’ll'), ('en', 'isn'), ('de', 'Zur'), ('es', 'DEL'), ('fr', 'del'))),
         m AS (SELECT * FROM (VALUES {', '.join(f"('{lang}', '{form}', '{parts.replace(' ', '+')}')" for lang, words in linguistics.CONTRACTIONS.items() for form, parts in words.items())}) AS v(lang, form, parts)),
         y AS (SELECT x.lang, token, CASE WHEN x.lang = 'en' THEN CASE WHEN lower(token) = 'cannot' THEN token[:3] || '+' || token[4:] WHEN regexp_matches(token, '^[\\p{{L}}\\p{{N}}]+[nN][''’][tT]$') THEN token[:-4] || '+' || token[-3:]
