@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.functions import segmentation as S
 from textspark.functions import temporal
 from textspark.functions import text as T
 from textspark.operators import fuzzy, lexical, similarity
@@ -13,8 +12,8 @@ from textspark.plans.lexical_queries import _table
 
 
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = similarity.shingle_sets(_table(spark, sf_dir, "documents"), 3)
-    return sets.select("doc_id", F.lpad(F.lower(F.hex(S.simhash_udf("shingles"))), 16, "0").alias("simhash"))
+    rows = similarity.simhashes(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
 def fuzzy_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
