@@ -9,6 +9,7 @@ from textspark.operators import dynamics, predictions, search
 from textspark.plans.lexical_queries import _table
 from textspark.plans.search_queries import _benchmark, _bm25
 from textspark.sources import transcripts
+from textspark.sources.scratch import cut
 from textspark.streaming import windows
 
 
@@ -120,6 +121,7 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 results judged by the documents whose text holds the benchmark text."""
     docs, asked = _table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir)
     relevant = docs.join(F.broadcast(asked), F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_id")  # the benchmark is a fixed, small set
+    relevant = cut(relevant, "relevant")  # read twice
     found = predictions.ranking_metrics(search.bm25(docs, asked), relevant)
     return found.withColumns({c: F.round(c, 6) for c in ("mrr", "recall", "ndcg")})
 
