@@ -169,11 +169,10 @@ def ngram_frequencies(docs: DataFrame, n: int, id_col: str = "doc_id", text_col:
 def corpus_report(docs: DataFrame, queries: DataFrame | None = None, embeddings: DataFrame | None = None, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = 10) -> dict[str, DataFrame]:
     """The sections of a corpus report: stats, terms, tfidf and keywords by document, searches (with queries),
     near_duplicates (windows of 5, similarity 0.6), neighbours (with embeddings), labels (with predictions)."""
-    scored = lexical.tfidf(docs, id_col, text_col).withColumn("score", F.round("score", 6))
     out = {
         "stats": lexical.corpus_stats(docs, id_col, text_col),
         "terms": lexical.corpus_term_stats(docs, id_col, text_col).orderBy(F.desc("collection_count"), F.desc("document_count"), F.asc("term")),
-        "tfidf": lexical.ranked(scored, [id_col], [F.desc("score"), F.desc("tf"), F.asc("term")], k),
+        "tfidf": lexical.best_tfidf(docs, k, id_col, text_col),
         "keywords": lexical.keywords(docs, k, id_col=id_col, text_col=text_col),
         "near_duplicates": similarity.near_duplicate_pairs(docs, 5, 0.6, id_col, text_col).orderBy(F.desc("score"), "left_id", "right_id"),
     }
