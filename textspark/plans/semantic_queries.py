@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textspark.operators import semantic, vectors
 from textspark.plans.lexical_queries import _quoted, _table
 from textspark.plans.report_queries import P, sentence_ctes
+from textspark.sources.scratch import cut
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +72,8 @@ def concept_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbourhood_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings")
-    return vectors.compare_edges(vectors.knn_graph(rows, 4), vectors.knn_graph(rows, 3))
+    near = cut(vectors.nearest(_table(spark, sf_dir, "embeddings"), 4), "neighbours")  # the three best are among the four
+    return vectors.compare_edges(vectors.undirected(near), vectors.undirected(near.filter("rank <= 3")))
 
 
 def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
